@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, placed, remove
 
 SPACE = r"[\x20\x09-\x0D]+"
 MAX_DEPTH = 14  # the directory has 2 to that power cells at most
@@ -68,7 +68,9 @@ def build_index(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     placed = slots.withColumn("cell", _cell(depth)).join(F.broadcast(cells_df), "cell").drop("cell")
     owned = placed.repartitionByRange("bucket", "hash").sortWithinPartitions("bucket", "hash")
     chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("sha")) - 1)
-    return materialize(chained.select("bucket", "local_depth", "hash", "chain", "sha", "bytes", "size"), "dedup-index")
+    index = materialize(chained.select("bucket", "local_depth", "hash", "chain", "sha", "bytes", "size"), "dedup-index")
+    remove(slots, docs.sparkSession)
+    return index
 
 
 def exact_dedup(docs: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -117,10 +119,9 @@ def _decisions(docs: DataFrame, capacity: int, carried: list[str]) -> DataFrame:
 def drop_copies(docs: DataFrame, capacity: int = 4096) -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops, columns unchanged.
 
-    The table is written once so that a row keeps its place between the
-    decision and the filter; only ids of the rows to drop are joined back.
+    Only names of the rows to drop are joined back.
     """
-    placed = materialize(docs.withColumn("_place", F.monotonically_increasing_id()), "dedup-docs")
-    decided = _decisions(placed.select("doc_id", "text", "_place"), capacity, ["_place"])
+    rows = placed(docs)
+    decided = _decisions(rows.select("doc_id", "text", "_place"), capacity, ["_place"])
     gone = decided.where("not kept").select("_place")
-    return placed.join(gone, "_place", "left_anti").select(*docs.columns)
+    return rows.join(gone, "_place", "left_anti").select(*docs.columns)

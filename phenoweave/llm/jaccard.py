@@ -40,7 +40,6 @@ from .store import materialize, remove
 GROUPS = 32  # coordinates of the count vectors
 CELL = 1024  # members that one task compares with as many others
 FANOUT = 16
-CLASS_RATIO = 1.2
 WORDS_KEPT = 500_000
 U = np.uint64
 
@@ -85,9 +84,9 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 @lru_cache
 def _classes(num: int, den: int) -> tuple[np.ndarray, list]:
     """Lower bounds of the size classes; (blocks, spare blocks) of each, None if only equal sets link."""
-    low = [1]
+    low = [1]  # a class is as wide as two steps of the size bound
     while low[-1] < 1 << 34:
-        low.append(max(low[-1] + 1, int(low[-1] * CLASS_RATIO)))
+        low.append(max(low[-1] + 1, int(low[-1] * (den / num) ** 2)))
     blocks = []
     for nxt in low[1:]:
         a = nxt - 1

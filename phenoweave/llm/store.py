@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,7 +36,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    was = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")  # the written rows are whole: nobody reads the shuffles again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,3 +54,16 @@ def remove(df_or_path, spark: SparkSession) -> None:
             raise ValueError(f"not a scratch table: {path}")
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def placed(docs: DataFrame, name: str = "_place") -> DataFrame:
+    """``docs`` with a column that tells every row from every other.
+
+    It is a hash of doc_id and text where no two rows share one, which a narrow
+    count checks, so no copy of the texts is needed.  Otherwise (repeated rows)
+    the table is written and a row's position is its name.
+    """
+    key = F.xxhash64("doc_id", "text")
+    if docs.select(key.alias("k")).groupBy("k").count().where("count > 1").limit(1).count() == 0:
+        return docs.withColumn(name, key)
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "placed")
