@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from phenoweave.llm import bpe, dedup, jaccard, langid, mixing
 from phenoweave.llm.queries import VOCABULARY
-from phenoweave.llm.store import materialize
+from phenoweave.llm.store import materialize, placed
 
 #: Documents whose predicted language is less likely than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -35,23 +35,23 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by Jaccard 0.8 or more on five words, the least doc_id stays.
 
-    Rows that share a doc_id are told apart by their place in the written table.
+    Rows that share a doc_id are told apart by their text or place.
     """
-    placed = materialize(docs.withColumn("_place", F.monotonically_increasing_id()), "near-docs")
-    linked = jaccard.jaccard_join(placed.select(F.col("_place").alias("doc_id"), "text"), width=5, num=80, den=100)
+    rows = placed(docs)
+    linked = jaccard.jaccard_join(rows.select(F.col("_place").alias("doc_id"), "text"), width=5, num=80, den=100)
     members = linked.where("n_shingles > 0").select(F.col("doc_id").alias("_place"), F.col("component_id").alias("_component"))
-    ids = materialize(members.join(placed.select("_place", "doc_id"), "_place"), "near-members")
+    ids = materialize(members.join(rows.select("_place", "doc_id"), "_place"), "near-members")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_place"))
     keeps = ids.groupBy("_component").agg(F.min(order).alias("k"), F.count("*").alias("n")).where("n > 1").select("_component", F.col("k._place").alias("_kept"))
     gone = ids.join(keeps, "_component").where("_place <> _kept").select("_place")
-    return placed.join(gone, "_place", "left_anti").select(*docs.columns)
+    return rows.join(gone, "_place", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    placed = materialize(docs.withColumn("_place", F.monotonically_increasing_id()), "mix-docs")
-    taken = mixing.mix(placed, carried=["_place"]).select("_place", F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int").alias("_times"))
-    out = placed.join(taken, "_place").where("_times > 0")
+    rows = placed(docs)
+    taken = mixing.mix(rows, carried=["_place"]).select("_place", F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int").alias("_times"))
+    out = rows.join(taken, "_place").where("_times > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
