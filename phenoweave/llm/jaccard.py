@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import materialize, remove
 
-GROUPS = 32  # coordinates of the count vectors
+GROUPS = 64  # coordinates of the count vectors
 CELL = 1024  # members that one task compares with as many others
 FANOUT = 16
 WORDS_KEPT = 500_000
@@ -84,9 +84,9 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 @lru_cache
 def _classes(num: int, den: int) -> tuple[np.ndarray, list]:
     """Lower bounds of the size classes; (blocks, spare blocks) of each, None if only equal sets link."""
-    low = [1]  # a class is as wide as two steps of the size bound
+    low = [1]  # wider classes take fewer nodes for each set, but cut smaller blocks
     while low[-1] < 1 << 34:
-        low.append(max(low[-1] + 1, int(low[-1] * (den / num) ** 2)))
+        low.append(max(low[-1] + 1, int(low[-1] * (den / num) ** 1.5)))
     blocks = []
     for nxt in low[1:]:
         a = nxt - 1
@@ -127,8 +127,19 @@ def node_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def count_vector(s: np.ndarray) -> bytes:
+    """Group counts in a byte each, after a byte with the shift; shifted counts are rounded up."""
+    counts = np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    shift = max(0, int(counts.max()).bit_length() - 8) if len(s) else 0
+    if shift and (int(counts.max()) + (1 << shift) - 1) >> shift > 255:
+        shift += 1
+    return bytes([shift]) + ((counts + (1 << shift) - 1) >> shift).astype(np.uint8).tobytes()
+
+
+def points_of(raw: list[bytes]) -> np.ndarray:
+    """Count vectors, none of them below the true counts."""
+    rows = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), GROUPS + 1).astype(np.int32)
+    return rows[:, 1:] << rows[:, :1]
 
 
 class CountTree:
@@ -184,24 +195,23 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100)
     """
     spark = docs.sparkSession
     rows = materialize(_points(docs, width, num, den), "jaccard-rows")
-    sets = rows.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("f2").alias("f2"), F.max("f2").alias("f2_max"), F.min("n").alias("n"))
+    sets = rows.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("f2").alias("f2"), F.max("f2").alias("f2_max"), F.min("n").alias("n"), F.first("counts").alias("counts"))
     sets = materialize(sets, "jaccard-sets")
     if sets.where("f2 <> f2_max").limit(1).count():
         raise ValueError("two sets share a 64-bit fingerprint: change the constants of fingerprint()")
 
     entries = rows.where("n > 0").select(F.explode("nodes").alias("node"), "f")
-    nodes = entries.groupBy("node").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi")
+    nodes = materialize(entries.groupBy("node").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi"), "jaccard-nodes")
     members = materialize(entries.join(nodes, "node").distinct(), "jaccard-members")
-    whole = materialize(_whole_sets(docs, members, sets, width), "jaccard-whole")
+    remove(nodes, spark)
 
     ends = members.select(F.col("lo").alias("a"), F.col("f").alias("b")).union(members.select(F.col("f").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
-    links = materialize(_verified(ends, whole, num, den), "jaccard-links")
+    links = _links(_bounded(ends, sets, num, den), docs, sets, width, num, den)
     roots = components(links)
-    rest = materialize(_verified(_searched(members, whole, roots, num, den), whole, num, den), "jaccard-links")
+    rest = _links(_searched(members, sets, roots, num, den), docs, sets, width, num, den)
     if rest.limit(1).count():
         roots = components(links.union(rest))
-    for t in (members, whole):
-        remove(t, spark)
+    remove(members, spark)
 
     rooted = sets.join(roots, sets["f"] == roots["node"], "left").withColumn("root", F.coalesce("root", "f"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("c"))
@@ -218,57 +228,83 @@ def _points(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f, g, nodes = [], [], [], []
+            n, f, g, nodes, counts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width)
                 n.append(len(s))
                 a, b = fingerprint(s) if len(s) else (None, None)
                 f.append(a)
                 g.append(b)
+                counts.append(count_vector(s))
                 nodes.append(node_keys(s, num, den) if len(s) else np.empty(0, dtype=np.int64))
             offsets = np.zeros(len(nodes) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in nodes], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(nodes) if nodes else np.empty(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), lists], names=["doc_id", "n", "f", "f2", "nodes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(counts, pa.binary()), lists], names=["doc_id", "n", "f", "f2", "counts", "nodes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, f long, f2 long, nodes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, f long, f2 long, counts binary, nodes array<long>")
 
 
-def _whole_sets(docs: DataFrame, members: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """``f, n, counts, items`` of every set that shares a node with another."""
-    needed = members.select("f").distinct().join(sets, "f").select(F.col("least").alias("_least"), F.col("f").alias("_f"))
+def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and summed minima of counts allow the threshold."""
+    one = sets.select(F.col("f").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
+    two = sets.select(F.col("f").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+    sizes = (F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, ca, cb = batch.columns
+            if batch.num_rows:
+                shared = np.minimum(points_of(ca.to_pylist()), points_of(cb.to_pylist())).sum(1)
+                keep = pa.array(shared * (den + num) >= num * (na.to_numpy() + nb.to_numpy()))
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(keep)
+
+    joined = pairs.join(one, "a").join(two, "b").where(sizes).select("a", "b", "na", "nb", "ca", "cb")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs that their whole sets confirm, as a written table."""
+    spark = docs.sparkSession
+    pairs = materialize(pairs, "jaccard-pairs")
+    whole = materialize(_whole_sets(docs, pairs, sets, width), "jaccard-whole")
+    links = materialize(_verified(pairs, whole, num, den), "jaccard-links")
+    remove(pairs, spark)
+    remove(whole, spark)
+    return links
+
+
+def _whole_sets(docs: DataFrame, pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """``f, n, items`` of every set in ``pairs``."""
+    needed = pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct().join(sets, "f").select(F.col("least").alias("_least"), F.col("f").alias("_f"))
     texts = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("_least"))).select("_f", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ns, counts, items = [], [], [], []
+            ids, ns, items = [], [], []
             for want, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text, width)
                 if len(s) and fingerprint(s)[0] == want:  # doc_ids may repeat
                     ids.append(want)
                     ns.append(len(s))
-                    counts.append(count_vector(s).tobytes())
                     items.append(s.view(np.int64))
             offsets = np.zeros(len(items) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in items], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(items) if items else np.empty(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(counts, pa.binary()), lists], names=["f", "n", "counts", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), lists], names=["f", "n", "items"])
 
-    return texts.mapInArrow(run, "f long, n long, counts binary, items array<long>").dropDuplicates(["f"])
+    return texts.mapInArrow(run, "f long, n long, items array<long>").dropDuplicates(["f"])
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs ``a, b`` whose whole sets reach the threshold."""
     one = whole.select(F.col("f").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     two = whole.select(F.col("f").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    sizes = (F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num)
-    # sizes first, so that sets of pairs that can't link are never joined
-    short = pairs.join(one.select("a", "na"), "a").join(two.select("b", "nb"), "b").where(sizes).select("a", "b")
     common = F.size(F.array_intersect("ia", "ib"))
-    return short.join(two, "b").join(one, "a").where(common * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+    return pairs.join(two, "b").join(one, "a").where(common * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
 
 
-def _searched(members: DataFrame, whole: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
+def _searched(members: DataFrame, sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components that the R-trees of the nodes let through.
 
     In each node the members of the commonest component are searched by all
@@ -283,7 +319,7 @@ def _searched(members: DataFrame, whole: DataFrame, roots: DataFrame, num: int,
     mine = rooted.join(open_keys.where("size > 2"), "key")
     per_root = mine.groupBy("key", "root").agg(F.count("*").alias("c"))
     common = per_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"))
-    mine = mine.join(common, "key").withColumn("queries", F.col("size") - F.col("x.c")).join(whole.select("f", "n", "counts"), "f")
+    mine = mine.join(common, "key").withColumn("queries", F.col("size") - F.col("x.c")).join(sets.select("f", "n", "counts"), "f")
     n_q, n_t = F.ceil(F.col("queries") / CELL).cast("int"), F.ceil(F.col("size") / CELL).cast("int")
     place = F.xxhash64("f", F.lit(3))
     base = mine.select("key", "f", "root", "n", "counts", "lo", "hi", (F.col("root") != F.col("x.root")).alias("asks"), n_q.alias("nq"), n_t.alias("nt"))
@@ -315,11 +351,11 @@ def _cell(rows: list[tuple], a: list, b: list, num: int, den: int) -> None:
     told = [r for r in rows if r[3] == 1]
     if not asks or not told:
         return
-    points = np.frombuffer(b"".join(r[7] for r in told), dtype=np.int32).reshape(len(told), GROUPS)
+    points, queries = points_of([r[7] for r in told]), points_of([r[7] for r in asks])
     roots, ids = np.array([r[5] for r in told]), np.array([r[4] for r in told])
     tree = CountTree(points, np.array([r[6] for r in told]))
-    for r in asks:
-        hits = tree.search(np.frombuffer(r[7], dtype=np.int32), r[6], num, den)
+    for r, q in zip(asks, queries, strict=True):
+        hits = tree.search(q, r[6], num, den)
         hits = hits[(roots[hits] != r[5])]
         for other in ids[hits].tolist():
             x, y = min(r[4], other), max(r[4], other)

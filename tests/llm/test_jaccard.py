@@ -123,3 +123,12 @@ def test_components(spark):
                 todo.append(y)
         assert got[a] == min(seen)
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stored_counts_are_upper_bounds():
+    r = np.random.default_rng(3)
+    for n in (1, 50, 20_000, 40_000, 3_000_000):
+        s = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        true = np.bincount((s & np.uint64(jaccard.GROUPS - 1)).astype(int), minlength=jaccard.GROUPS)
+        stored = jaccard.points_of([jaccard.count_vector(s)])[0]
+        assert (stored >= true).all() and (stored <= true * 1.02 + 1).all()
