@@ -41,6 +41,7 @@ GROUPS = 64  # coordinates of the count vectors
 CELL = 1024  # members that one task compares with as many others
 FANOUT = 16
 WORDS_KEPT = 500_000
+SLICE_ITEMS = 4_000_000  # least n-grams of a slice of pairs
 U = np.uint64
 
 
@@ -206,11 +207,8 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100)
     remove(nodes, spark)
 
     ends = members.select(F.col("lo").alias("a"), F.col("f").alias("b")).union(members.select(F.col("f").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
-    links = _links(_bounded(ends, sets, num, den), docs, sets, width, num, den)
-    roots = components(links)
-    rest = _links(_searched(members, sets, roots, num, den), docs, sets, width, num, den)
-    if rest.limit(1).count():
-        roots = components(links.union(rest))
+    links, roots = _linked(_bounded(ends, sets, num, den), None, docs, sets, width, num, den)
+    _, roots = _linked(_searched(members, sets, roots, num, den), links, docs, sets, width, num, den)
     remove(members, spark)
 
     rooted = sets.join(roots, sets["f"] == roots["node"], "left").withColumn("root", F.coalesce("root", "f"))
@@ -256,22 +254,44 @@ def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             a, b, na, nb, ca, cb = batch.columns
             if batch.num_rows:
                 shared = np.minimum(points_of(ca.to_pylist()), points_of(cb.to_pylist())).sum(1)
-                keep = pa.array(shared * (den + num) >= num * (na.to_numpy() + nb.to_numpy()))
-                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(keep)
+                both = na.to_numpy() + nb.to_numpy()
+                keep = pa.array(shared * (den + num) >= num * both)
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(both)], names=["a", "b", "items"]).filter(keep)
 
     joined = pairs.join(one, "a").join(two, "b").where(sizes).select("a", "b", "na", "nb", "ca", "cb")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long, items long")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs that their whole sets confirm, as a written table."""
+def _linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """All links so far, and their components, after verifying ``pairs (a, b, items)``.
+
+    First one pair for each ``b``; the components that this gives leave only the
+    pairs between different ones, so a pair is read only if it can matter.
+    """
     spark = docs.sparkSession
-    pairs = materialize(pairs, "jaccard-pairs")
-    whole = materialize(_whole_sets(docs, pairs, sets, width), "jaccard-whole")
-    links = materialize(_verified(pairs, whole, num, den), "jaccard-links")
-    remove(pairs, spark)
+    todo = materialize(pairs, "jaccard-pairs")
+    whole = materialize(_whole_sets(docs, todo, sets, width), "jaccard-whole")
+    size = whole.agg(F.sum("n")).first()[0] or 0
+    for one_each in (True, False):
+        now = todo.groupBy("b").agg(F.min(F.struct("a", "items")).alias("x")).select("x.a", "b", "x.items") if one_each else todo
+        found = _verified(now, whole, size, num, den)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        if one_each:
+            rest = _apart(todo.join(now.select("a", "b"), ["a", "b"], "left_anti"), roots)
+            old, todo = todo, materialize(rest, "jaccard-pairs")
+            remove(old, spark)
+            if not todo.limit(1).count():
+                break
+    remove(todo, spark)
     remove(whole, spark)
-    return links
+    return links, roots
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of different components."""
+    one, two = (roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+    return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "items")
 
 
 def _whole_sets(docs: DataFrame, pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
@@ -296,12 +316,24 @@ def _whole_sets(docs: DataFrame, pairs: DataFrame, sets: DataFrame, width: int)
     return texts.mapInArrow(run, "f long, n long, items array<long>").dropDuplicates(["f"])
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets reach the threshold."""
+def _verified(pairs: DataFrame, whole: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs ``a, b`` whose whole sets reach the threshold, as a written table.
+
+    A pair brings both sets together; pairs are taken in slices that move about
+    twice as much as all the sets hold (``size`` items), one slice at a time.
+    """
     one = whole.select(F.col("f").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
     two = whole.select(F.col("f").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
+    moved = pairs.agg(F.sum("items")).first()[0] or 0
+    slices = max(1, -(-moved // max(2 * size, SLICE_ITEMS)))
     common = F.size(F.array_intersect("ia", "ib"))
-    return pairs.join(two, "b").join(one, "a").where(common * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+    out = None
+    for i in range(slices):
+        part = pairs.select("a", "b").where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == i)
+        good = part.join(two, "b").join(one, "a").where(common * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+        good = materialize(good, "jaccard-links")
+        out = good if out is None else out.unionByName(good)
+    return out
 
 
 def _searched(members: DataFrame, sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
@@ -332,33 +364,35 @@ def _searched(members: DataFrame, sets: DataFrame, roots: DataFrame, num: int, d
         held: list[tuple] = []
         for batch in batches:
             columns_ = [c.to_pylist() for c in batch.columns]
-            a, b = [], []
+            a, b, w = [], [], []
             for row in zip(*columns_, strict=True):
                 if held and held[-1][:3] != row[:3]:
-                    _cell(held, a, b, num, den)
+                    _cell(held, a, b, w, num, den)
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        a, b = [], []
-        _cell(held, a, b, num, den)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, w)], names=["a", "b", "items"])
+        a, b, w = [], [], []
+        _cell(held, a, b, w, num, den)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, w)], names=["a", "b", "items"])
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(run, "a long, b long, items long").distinct()
 
 
-def _cell(rows: list[tuple], a: list, b: list, num: int, den: int) -> None:
+def _cell(rows: list[tuple], a: list, b: list, w: list, num: int, den: int) -> None:
     asks = [r for r in rows if r[3] == 0]
     told = [r for r in rows if r[3] == 1]
     if not asks or not told:
         return
     points, queries = points_of([r[7] for r in told]), points_of([r[7] for r in asks])
     roots, ids = np.array([r[5] for r in told]), np.array([r[4] for r in told])
-    tree = CountTree(points, np.array([r[6] for r in told]))
+    sizes = np.array([r[6] for r in told])
+    tree = CountTree(points, sizes)
     for r, q in zip(asks, queries, strict=True):
         hits = tree.search(q, r[6], num, den)
         hits = hits[(roots[hits] != r[5])]
-        for other in ids[hits].tolist():
+        for other, n in zip(ids[hits].tolist(), sizes[hits].tolist(), strict=True):
             x, y = min(r[4], other), max(r[4], other)
             if x != r[8] and y != r[9]:  # those were verified before
                 a.append(x)
                 b.append(y)
+                w.append(n + r[6])

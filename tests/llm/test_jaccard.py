@@ -59,6 +59,7 @@ def test_same_as_brute_force(spark, seed):
 
 def test_small_cells_and_many_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL", 8)
+    monkeypatch.setattr(jaccard, "SLICE_ITEMS", 2000)
     r = random.Random(4)
     base = [f"b{i}" for i in range(120)]
     rows = []
