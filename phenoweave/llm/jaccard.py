@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import materialize, remove
 
-GROUPS = 64  # coordinates of the count vectors
+GROUPS = 256  # coordinates of the count vectors
 CELL = 1024  # members that one task compares with as many others
 FANOUT = 16
 WORDS_KEPT = 500_000
