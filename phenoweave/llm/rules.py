@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, remove
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,20 +34,23 @@ def _words(text: Column) -> Column:
 
 
 def base_columns(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """``keep``, _t (text), _w (words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+
+    Windows of three words are compared by a 64-bit hash of the words.
+    """
     text = F.coalesce("text", F.lit(""))
     d = docs.select(*keep, text.alias("_t"))
     d = d.withColumn("_w", _words(F.col("_t")))
-    d = d.withColumn("_g", F.expr("CASE WHEN size(_w) >= 3 THEN transform(slice(_w, 1, size(_w) - 2), (x, i) -> concat_ws(' ', x, get(_w, i + 1), get(_w, i + 2))) ELSE array() END"))
+    d = d.withColumn("_g", F.expr("transform(slice(_w, 1, greatest(size(_w) - 2, 0)), (x, i) -> xxhash64(x, get(_w, i + 1), get(_w, i + 2)))"))
     d = d.withColumn("_d", F.expr("CASE WHEN size(array_distinct(_g)) < size(_g) THEN sort_array(transform(_g, (g, i) -> struct(g, i))) ELSE array() END"))
     # starts of the windows that occur twice or more, in order
     d = d.withColumn("_p", F.expr("sort_array(transform(filter(transform(_d, (s, i) -> struct(s.i AS i, (i > 0 AND get(_d, i - 1).g = s.g) OR coalesce(get(_d, i + 1).g = s.g, false) AS twice)), s -> s.twice), s -> s.i))"))
     d = d.withColumn("_l", F.expr(r"filter(split(_t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
     n_repeat = F.expr("CASE WHEN size(_p) = 0 THEN 0L ELSE aggregate(transform(_p, (x, k) -> least(3, coalesce(get(_p, k + 1), x + 3) - x)), 0L, (s, x) -> s + x) END")
     d = d.select(
-        *keep, "_t",
+        *keep, "_t", "_w",
         F.size("_w").cast("long").alias("n_words"),
-        (F.char_length("_t") - F.regexp_count("_t", F.lit(SPACE))).cast("long").alias("word_chars"),
+        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(CLASSES["symbol"])).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         n_repeat.alias("n_repeat_words"),
@@ -55,41 +58,43 @@ def base_columns(docs: DataFrame, keep: list[str]) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def class_counts(text: Column) -> list[Column]:
-    return [F.regexp_count(text, F.lit(p)).cast("long").alias(f"_c_{k}") for k, p in CLASSES.items()]
+def class_counts(text: str, rest: str) -> list[Column]:
+    """Characters of each class; ``rest`` is the text without its runs of the class ``lower``."""
+    lower = (F.char_length(text) - F.char_length(rest)).cast("long").alias("_c_lower")
+    return [lower, *[F.regexp_count(rest, F.lit(p)).cast("long").alias(f"_c_{k}") for k, p in CLASSES.items() if k != "lower"]]
 
 
-def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> dict[str, dict]:
-    """By language: shares of the classes, the commonest words and their shares.
+def word_references(docs: DataFrame, common_words: int = COMMON_WORDS) -> dict[str, tuple[list[str], list[float]]]:
+    """By language the commonest words, and the shares of these and of all others.
 
-    All documents count.  A language's reference is a few dozen numbers; the
-    ``MAX_LANGUAGES`` languages with most characters get one, and ``*`` has all.
+    All documents count.  The ``MAX_LANGUAGES`` languages with most words get a
+    reference, and ``*`` has all documents together.
     """
-    text = F.coalesce("text", F.lit(""))
-    d = docs.select(F.coalesce("lang", F.lit(ALL)).alias("lang"), text.alias("_t"))
-    chars = (F.char_length("_t") - F.regexp_count("_t", F.lit(SPACE))).cast("long")
-    counted = d.select("lang", chars.alias("_c"), *class_counts(F.col("_t")))
-    sums = materialize(counted.groupBy("lang").agg(*[F.sum(c).alias(c) for c in counted.columns[1:]]), "rule-classes")
-    words = d.select("lang", F.explode(_words(F.lower("_t"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = docs.select(F.coalesce("lang", F.lit(ALL)).alias("lang"), F.explode(_words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = materialize(words, "rule-words")
-    chosen = sums.orderBy(F.desc("_c"), "lang").limit(MAX_LANGUAGES)
-    total = sums.agg(*[F.sum(c).alias(c) for c in sums.columns[1:]]).select(F.lit(ALL).alias("lang"), *sums.columns[1:])
-    by_lang = {r["lang"]: r.asDict() for r in chosen.where(F.col("lang") != ALL).unionByName(total).collect()}
+    chosen = words.where(F.col("lang") != ALL).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
     all_words = words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "word", "n")
-    ranked = words.where(F.col("lang") != ALL).join(F.broadcast(chosen.select("lang")), "lang").select("lang", "word", "n").unionByName(all_words)
+    ranked = words.join(F.broadcast(chosen), "lang").select("lang", "word", "n").unionByName(all_words)
     top = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= common_words)
     counts = {r[0]: r[1] for r in ranked.groupBy("lang").agg(F.sum("n")).collect()}
-    out = {}
-    for lang, row in by_lang.items():
-        n = max(row["_c"] or 0, 1)
-        shares = [(row[f"_c_{k}"] or 0) / n for k in CLASSES]
-        out[lang] = {"classes": [*shares, max(0.0, 1.0 - sum(shares))], "words": [], "shares": []}
+    out: dict[str, tuple[list[str], list[float]]] = {lang: ([], []) for lang in [ALL, *counts]}
     for r in top.orderBy("lang", "r").collect():
-        if r["lang"] in out:
-            out[r["lang"]]["words"].append(r["word"])
-            out[r["lang"]]["shares"].append(r["n"] / counts[r["lang"]])
-    for ref in out.values():
-        ref["shares"].append(max(0.0, 1.0 - sum(ref["shares"])))
+        out[r["lang"]][0].append(r["word"])
+        out[r["lang"]][1].append(r["n"] / counts[r["lang"]])
+    for _, shares in out.values():
+        shares.append(max(0.0, 1.0 - sum(shares)))
+    remove(words, docs.sparkSession)
+    return out
+
+
+def class_references(counted: DataFrame) -> dict[str, list[float]]:
+    """By ``_lang`` the shares of the character classes, ``other`` last; ``*`` has all rows."""
+    sums = {r["_lang"]: [r["n"] or 0, *[r[f"_c_{k}"] or 0 for k in CLASSES]] for r in counted.groupBy("_lang").agg(F.sum("word_chars").alias("n"), *[F.sum(f"_c_{k}").alias(f"_c_{k}") for k in CLASSES]).collect()}
+    sums[ALL] = [sum(x) for x in zip(*sums.values(), strict=True)] if sums else [0] * (len(CLASSES) + 1)
+    out = {}
+    for lang, (n, *parts) in sums.items():
+        shares = [x / max(n, 1) for x in parts]
+        out[lang] = [*shares, max(0.0, 1.0 - sum(shares))]
     return out
 
 
@@ -113,18 +118,21 @@ def quality_rules(
     words and fails; a null or unknown language is held against all documents
     together; repeated rows repeat; an empty table gives no rows.
     """
-    refs = references(docs, common_words)
-    table = docs.sparkSession.createDataFrame(
-        [(k, r["classes"], r["words"], r["shares"]) for k, r in refs.items()], "_ref string, _classes array<double>, _words array<string>, _shares array<double>"
-    )  # MAX_LANGUAGES rows at most
+    spark = docs.sparkSession
+    refs = word_references(docs, common_words)
+    table = spark.createDataFrame([(k, *r) for k, r in refs.items()], "_ref string, _words array<string>, _shares array<double>")  # MAX_LANGUAGES rows and one at most
     lang = F.when(F.col("lang").isin([k for k in refs if k != ALL]), F.col("lang")).otherwise(F.lit(ALL))
     d = base_columns(docs.withColumn("_lang", lang), ["doc_id", "_lang"])
-    # single words between two blanks each
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("_t"), SPACE + "+", "  "), F.lit(" "))
-    d = d.select("*", *class_counts(F.col("_t")), padded.alias("_pad")).join(F.broadcast(table), F.col("_lang") == F.col("_ref"), "left")
+    d = d.withColumn("_rest", F.regexp_replace("_t", CLASSES["lower"] + "+", "")).join(F.broadcast(table), F.col("_lang") == F.col("_ref"), "left")
+    # the inner list is bound by a lambda, so it is made once and not for each common word
+    found = "filter(transform(_w, w -> lower(w)), w -> array_contains(_words, w))"
+    hits = f"get(transform(array({found}), l -> transform(_words, w -> size(filter(l, f -> f = w)) / greatest(n_words, 1))), 0)"
+    names = ["doc_id", "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    d = materialize(d.select(*names, *class_counts("_t", "_rest"), F.expr(hits).alias("_o"), "_shares"), "rule-counts")  # numbers only
+    classes = spark.createDataFrame(list(class_references(d).items()), "_ref string, _classes array<double>")
+    d = d.join(F.broadcast(classes), F.col("_lang") == F.col("_ref"), "left")
     n = F.greatest("word_chars", F.lit(1))
     d = d.withColumn("_s", F.array(*[F.col(f"_c_{k}") / n for k in CLASSES]))
-    d = d.withColumn("_o", F.expr("transform(_words, w -> (char_length(_pad) - char_length(replace(_pad, concat(' ', w, ' '), ''))) / (char_length(w) + 2) / greatest(n_words, 1))"))
     rest = "concat({0}, array(greatest(0D, 1 - aggregate({0}, 0D, (s, t) -> s + t))))"
     d = d.withColumns({"_s": F.expr(rest.format("_s")), "_o": F.expr(rest.format("_o"))})
     d = d.withColumns({"js_classes": js_distance("_s", "_classes"), "js_words": js_distance("_o", "_shares")})
