@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from phenoweave.catalogue import ORACLES, QUERIES
+from phenoweave.catalogue_reports import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
