@@ -1,4 +1,4 @@
-"""Engine tables from the driver's tables, as SQL that Spark and DuckDB both run.
+"""Engine tables from the driver's tables, as SQL that Spark and DuckDB both run, but for those in WHOLE.
 
 The driver tables hold no phenotype data; customers stand in for profiles, parts
 for terms, orders for patients, and part numbers form a directed acyclic graph.
@@ -28,6 +28,11 @@ TABLES = {
     "doc": "SELECT doc_id AS disease_id, text FROM documents",
     "query_text": "SELECT item_id AS patient_id, text FROM benchmark WHERE item_id < 20",
 }
+#: Spark takes all patients here; the SQL above has the first orders only, so its rows are part of Spark's.
+WHOLE = {
+    "patient_term": "SELECT DISTINCT l_orderkey AS patient_id, l_partkey AS term FROM lineitem",
+    "patient_excluded": "SELECT DISTINCT l_orderkey AS patient_id, l_partkey AS term FROM lineitem WHERE l_returnflag = 'R'",
+}
 INPUTS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "benchmark", "conversations")
 
 
@@ -43,7 +48,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             return self.raw(name)
-        sql = TABLES[name]
+        sql = WHOLE.get(name, TABLES[name])
         views = {t: self.raw(t) for t in INPUTS if f" {t}" in sql}
         for t in views:
             sql = sql.replace(f" {t} ", f" {{{t}}} ") if f" {t} " in sql else sql.replace(f" {t}", f" {{{t}}}")

@@ -1,0 +1,35 @@
+"""Queries against their SQL without its cuts: every patient, query and pair counts."""
+
+import duckdb
+import pytest
+from test_catalogue import SF, plain
+
+from phenoweave.catalogue_reports import ORACLES, QUERIES
+
+PATIENTS = (
+    "set_cosine_topk", "set_jaccard_topk", "set_dice_topk", "set_overlap_topk", "set_jaccard_penalized_topk", "coverage_block", "exclusion_conflicts",
+    "matched_terms_topn", "ic_quality", "propagate_terms", "ic_filter", "tfidf_hpo_topk", "tfidf_label_topk", "label_tokens", "common_ancestors",
+)
+CUTS = (("WHERE l_orderkey < 50", ""), ("l_orderkey < 100 AND", ""))
+
+
+def same(spark, name, cuts=CUTS):
+    sql = ORACLES[name]
+    for old, new in cuts:
+        sql = sql.replace(old, new)
+    assert sql != ORACLES[name]
+    con = duckdb.connect()
+    for t in ("customer", "part", "orders", "lineitem", "documents", "embeddings", "benchmark", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(sql)
+    names = [d[0] for d in want.description]
+    key = lambda row: [(v is None, str(v)) for v in row]
+    got = sorted(([plain(v) for v in r] for r in QUERIES[name](spark, SF).select(names).collect()), key=key)
+    ref = sorted(([plain(v) for v in r] for r in want.fetchall()), key=key)
+    assert len(ref) > 0
+    assert got == ref
+
+
+@pytest.mark.parametrize("name", PATIENTS)
+def test_all_patients(spark, name):
+    same(spark, name)
