@@ -163,7 +163,7 @@ _MICA = f"""{_INCLUSIVE}, {_IC}, pt AS (SELECT * FROM patient_term {_SMALL}),
 
 def _micas(t):
     ic = ontology.information_content(t.profile_term)
-    patients = t.patient_term.where("patient_id < 8")  # the stated query set
+    patients = t.patient_term
     return patients, ic, semantic.mica(patients, t.profile_term, ontology.closure(t.edge, inclusive=True), ic)
 
 

@@ -33,3 +33,8 @@ def same(spark, name, cuts=CUTS):
 @pytest.mark.parametrize("name", PATIENTS)
 def test_all_patients(spark, name):
     same(spark, name)
+
+
+@pytest.mark.parametrize("name", ["mica_pairs", "resnik_bma_topk", "lin_bma_topk", "jiang_conrath_bma_topk"])
+def test_all_patients_in_semantic_scores(spark, name):
+    same(spark, name, [*CUTS, ("WHERE patient_id < 8", "")])
