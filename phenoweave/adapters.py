@@ -28,10 +28,11 @@ TABLES = {
     "doc": "SELECT doc_id AS disease_id, text FROM documents",
     "query_text": "SELECT item_id AS patient_id, text FROM benchmark WHERE item_id < 20",
 }
-#: Spark takes all patients here; the SQL above has the first orders only, so its rows are part of Spark's.
+#: Spark takes all patients and query texts here; the SQL above has the first orders only, so its rows are part of Spark's.
 WHOLE = {
     "patient_term": "SELECT DISTINCT l_orderkey AS patient_id, l_partkey AS term FROM lineitem",
     "patient_excluded": "SELECT DISTINCT l_orderkey AS patient_id, l_partkey AS term FROM lineitem WHERE l_returnflag = 'R'",
+    "query_text": "SELECT item_id AS patient_id, text FROM benchmark",
 }
 INPUTS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "benchmark", "conversations")
 

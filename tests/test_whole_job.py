@@ -38,3 +38,8 @@ def test_all_patients(spark, name):
 @pytest.mark.parametrize("name", ["mica_pairs", "resnik_bma_topk", "lin_bma_topk", "jiang_conrath_bma_topk"])
 def test_all_patients_in_semantic_scores(spark, name):
     same(spark, name, [*CUTS, ("WHERE patient_id < 8", "")])
+
+
+@pytest.mark.parametrize("name", ["tfidf_text_topk", "low_idf_matches", "token_coverage", "contributing_terms"])
+def test_all_query_texts(spark, name):
+    same(spark, name, [("WHERE item_id < 20", "")])
