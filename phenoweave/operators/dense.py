@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from ..plans.ranking import top_k
 
+BLOCKS = 8  # each side is cut in so many blocks; every pair of blocks is one group of the join
 
 def _dot(a: str, b: str) -> str:
     return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x)"
 
 
 def pair_similarity(queries: DataFrame, items: DataFrame, measure: str) -> DataFrame:
-    """A stated set of queries against all items; queries are sent to the items' tasks in blocks.
+    """All queries against all items, each block of queries with each block of items.
 
-    The caller bounds the queries; the items are never moved.
+    Neither side is broadcast: both may grow with the input.
     """
-    q = F.broadcast(queries.select("patient_id", F.col("vector").alias("q")))
-    pairs = items.select("disease_id", F.col("vector").alias("v")).join(q)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("patient_id", F.col("vector").alias("q"), block("patient_id", BLOCKS).alias("qb")).withColumn("vb", every(BLOCKS))
+    v = items.select("disease_id", F.col("vector").alias("v"), block("disease_id", BLOCKS).alias("vb")).withColumn("qb", every(BLOCKS))
+    pairs = v.hint("shuffle_hash").join(q, ["qb", "vb"])
     if measure == "cosine":
         norm = f"sqrt({_dot('q', 'q')}) * sqrt({_dot('v', 'v')})"
         value = F.expr(f"CASE WHEN {norm} > 0 THEN {_dot('q', 'v')} / ({norm}) ELSE 0D END")

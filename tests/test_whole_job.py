@@ -43,3 +43,8 @@ def test_all_patients_in_semantic_scores(spark, name):
 @pytest.mark.parametrize("name", ["tfidf_text_topk", "low_idf_matches", "token_coverage", "contributing_terms"])
 def test_all_query_texts(spark, name):
     same(spark, name, [("WHERE item_id < 20", "")])
+
+
+@pytest.mark.parametrize("name", ["dense_cosine_topk", "dense_euclidean_topk"])
+def test_all_vectors_are_queries(spark, name):
+    same(spark, name, [(" WHERE q.vec_id < 20", "")])
