@@ -92,8 +92,8 @@ def matched_terms_topn(t):
 @query(_top_terms("""SELECT c.patient_id, c.disease_id, p.term FROM (SELECT patient_id, min(disease_id) AS disease_id FROM patient_term a JOIN profile_term b ON a.term = b.term GROUP BY 1) c
     JOIN patient_term p ON p.patient_id = c.patient_id WHERE NOT EXISTS (SELECT 1 FROM profile_term d WHERE d.disease_id = c.disease_id AND d.term = p.term)""", 10))
 def unmatched_terms_topn(t):
-    first = t.patient_term.join(t.profile_term, "term").groupBy("patient_id").agg(F.min("disease_id").alias("disease_id"))
-    rest = first.join(t.patient_term, "patient_id").join(t.profile_term, ["disease_id", "term"], "left_anti")
+    pairs = t.patient_term.join(t.profile_term, "term").select("patient_id", "disease_id").distinct()
+    rest = pairs.join(t.patient_term, "patient_id").join(t.profile_term, ["disease_id", "term"], "left_anti")
     return sets.top_terms(rest, ontology.information_content(t.profile_term), 10)
 
 

@@ -48,3 +48,9 @@ def test_all_query_texts(spark, name):
 @pytest.mark.parametrize("name", ["dense_cosine_topk", "dense_euclidean_topk"])
 def test_all_vectors_are_queries(spark, name):
     same(spark, name, [(" WHERE q.vec_id < 20", "")])
+
+
+def test_unmatched_terms_of_all_pairs(spark):
+    pairs = "(SELECT DISTINCT patient_id, disease_id FROM patient_term a JOIN profile_term b ON a.term = b.term) c"
+    least = "(SELECT patient_id, min(disease_id) AS disease_id FROM patient_term a JOIN profile_term b ON a.term = b.term GROUP BY 1) c"
+    same(spark, "unmatched_terms_topn", [*CUTS, (least, pairs)])
