@@ -80,6 +80,8 @@ VERSIONS = ("1", "1.0", "2", "2.0", "2.1", "3", "3.0", "4.0")
 FAMILIES = sorted(TEMPLATES)
 #: Corpus paragraphs of the unknown class that the classifier is fitted on, at most.
 MAX_UNKNOWN = 2000
+#: Names that stay cues even where the sample has them; MIT, a common word in German, never stands without "license" or "permission".
+NAMES = frozenset("apache bsd cc cc0 gpl gnu mozilla mpl".split())
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _NUMBER = re.compile(r"\d")
 
@@ -185,12 +187,12 @@ def train(unknown: list[list[str]], seed: int = 0, epochs: int = 60, rate: float
     shapes = {f: [frozenset(zip(t, t[1:], strict=False)) for t in {tuple(tokens(line.replace("{v}", VERSIONS[0]))) for line in lines}] for f, lines in TEMPLATES.items()}
     words = {g for g in vocabulary if " " not in g and g != "0"}
     common = {g for ws in unknown for g in set(ws)}
-    return Model(vocabulary, w, temperature, shapes, frozenset(words - common or words))
+    return Model(vocabulary, w, temperature, shapes, frozenset(words - (common - NAMES) or words))
 
 
 def fit(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> Model:
     """Learn the unknown class from the paragraphs of least hash that hold no cue."""
-    cues = "(?i)licen|copyright|spdx|rights reserved|permission|redistribut|proprietary|public domain|free software"
+    cues = "(?i)licen|copyright|spdx|rights reserved|permission|redistribut|proprietary|public domain|free software|apache|mozilla|creative commons|\\b(cc0|cc[ -]by|bsd|l?gpl|agpl|gnu|mpl)\\b"
     spot = F.xxhash64("doc_id", "text")
     near = docs.where("text is not null").select("text", spot.alias("h")).orderBy("h").limit(max_unknown)
     lines = near.select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(cues)).select(F.substring("line", 1, 2000).alias("line"), F.xxhash64("line").alias("h")).orderBy("h", "line").limit(max_unknown)
