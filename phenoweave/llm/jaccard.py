@@ -1,37 +1,32 @@
-"""Exact Jaccard join on word n-grams over a tree of count vectors.
+"""Exact Jaccard join on word n-grams over trees of count vectors.
 
 A document is the set of its distinct hashed n-grams.  Hashing the n-grams into
-groups turns it into a point, the vector of group counts; two sets that reach
-the threshold differ in at most ``d`` n-grams, so their points are at most ``d``
-apart, and the sum of coordinate minima bounds their overlap from above.
-
-The tree has two parts.
-
-* Upper levels, over the cluster: the size of a set picks a size class, and the
-  coordinates are cut into ``d + 1`` blocks (and some spare ones).  Points ``d``
-  apart at most must agree on one block exactly, so a tree node is a class, a
-  block and that block's content, and each point enters one node for each block.
-  This replaces overlapping boxes, which don't separate points of this dimension.
-* Lower levels, inside a node: an R-tree of packed boxes over count vectors.  A
-  branch is followed only if the sum of minima of the query's counts and the
-  branch's largest counts can still reach the overlap that the sizes demand.
-
-Pairs that survive are verified on the whole sets.  Equal sets are one point from
-the start.  Each node first verifies its members against its least and greatest
-member; the components so found leave only pairs of different components to the
-R-tree, so a large group of near copies costs a multiple of its size, not its
-square.  No candidate is ever dropped.
+groups turns it into a point, the vector of group counts; the sum of coordinate
+minima of two points bounds their overlap from above.
+
+* Upper levels, over the cluster.  Boxes of count vectors don't separate sets of
+  more than some hundred n-grams (README has figures), so the upper levels split
+  by shared n-grams instead.  Sets that link share so many n-grams that a set can
+  be left out as soon as too few of its n-grams occur in any other set; first in
+  a window of the least hashes, then in whole sets.  What is left enters a node
+  for each n-gram of a short prefix, rarest first; linked sets meet in a node.
+  Connected nodes are one branch.
+* Lower levels, inside a branch: an R-tree of packed boxes over count vectors,
+  searched by summed minima.  Survivors are verified on the spot on whole sets,
+  and a union of what is already linked leaves only pairs that can still matter.
+
+A branch ships each set once, in cells of bounded size, and gives back fewer links
+than it has members.  No candidate is ever dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -39,9 +34,10 @@ from .store import materialize, remove
 
 GROUPS = 256  # coordinates of the count vectors
 CELL = 1024  # members that one task compares with as many others
+CELL_ITEMS = 4_000_000  # n-grams that one task holds of either side, but for a single longer set
+BATCH = 512  # sets in one Arrow batch
 FANOUT = 16
 WORDS_KEPT = 500_000
-SLICE_ITEMS = 4_000_000  # least n-grams of a slice of pairs
 U = np.uint64
 
 
@@ -82,65 +78,31 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(total)
 
 
-@lru_cache
-def _classes(num: int, den: int) -> tuple[np.ndarray, list]:
-    """Lower bounds of the size classes; (blocks, spare blocks) of each, None if only equal sets link."""
-    low = [1]  # wider classes take fewer nodes for each set, but cut smaller blocks
-    while low[-1] < 1 << 34:
-        low.append(max(low[-1] + 1, int(low[-1] * (den / num) ** 1.5)))
-    blocks = []
-    for nxt in low[1:]:
-        a = nxt - 1
-        d = (a + a * den // num) * (den - num) // (den + num)
-        spare = 0 if d < 4 else 1 if d < 64 else 1 + d // 64
-        blocks.append((d + 1 + spare, spare) if d else None)
-    return np.array(low), blocks
-
-
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         x, y = np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D))), np.add.reduce(mix(s + U(0x14057B7EF767814F)))
     return tuple(np.array([x, y], dtype=np.uint64).view(np.int64).tolist())
 
 
-def node_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The tree nodes that a set enters."""
-    low, blocks = _classes(num, den)
-    n = len(s)
-    first = int(np.searchsorted(low, -(-n * num // den), side="right")) - 1
-    last = int(np.searchsorted(low, n, side="right")) - 1
-    out = []
-    with np.errstate(over="ignore"):
-        content = mix(s + U(0x2545F4914F6CDD1D))
-        high = s >> U(32)
-        for k in range(max(first, 0), last + 1):
-            if blocks[k] is None:
-                continue
-            m, spare = blocks[k]
-            at = (high * U(m)) >> U(32)  # ascending, as the set is sorted
-            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            used = at[starts]
-            salt = U((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            out.append(mix(mix(np.add.reduceat(content, starts) + salt) + used))
-            if m - len(used) > spare:  # with fewer empty blocks some block that isn't empty agrees
-                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), used)
-                out.append(mix(mix(np.full(len(empty), 0xA5A5A5A5, dtype=np.uint64) + salt) + empty))
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
-
-
-def count_vector(s: np.ndarray) -> bytes:
-    """Group counts in a byte each, after a byte with the shift; shifted counts are rounded up."""
-    counts = np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    shift = max(0, int(counts.max()).bit_length() - 8) if len(s) else 0
-    if shift and (int(counts.max()) + (1 << shift) - 1) >> shift > 255:
-        shift += 1
-    return bytes([shift]) + ((counts + (1 << shift) - 1) >> shift).astype(np.uint8).tobytes()
-
-
-def points_of(raw: list[bytes]) -> np.ndarray:
-    """Count vectors, none of them below the true counts."""
-    rows = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), GROUPS + 1).astype(np.int32)
-    return rows[:, 1:] << rows[:, :1]
+def differ(n: int, num: int, den: int) -> int:
+    """Most n-grams that are in just one of a set of ``n`` and a set linked with it."""
+    return n * (den - num) // num
+
+
+def window(n: int, num: int, den: int) -> int:
+    """How many of the least hashes the first step looks at; 0: only equal sets link.
+
+    Of the windows of linked sets, the one that ends first lies in the other but
+    for the n-grams that differ, so twice as many leave enough in common.
+    """
+    d = differ(n, num, den)
+    return min(n, 2 * d + 2) if d else 0
+
+
+def shared_in_window(n: int, num: int, den: int) -> int:
+    """Least overlap of the windows of a set of ``n`` and any set linked with it."""
+    least = -(-n * num // den)
+    return max(1, window(least, num, den) - differ(n, num, den)) if differ(least, num, den) else 1
 
 
 class CountTree:
@@ -167,21 +129,39 @@ class CountTree:
             return np.minimum(tops, q).sum(1) * (den + num) >= num * (least + n)
 
         hits = None
-        for tops, least in reversed(self.levels):
-            if hits is None:
-                hits = np.flatnonzero(can(tops, least))
-            else:
-                hits = hits[can(tops[hits], least[hits])]
-            below = hits[:, None] * FANOUT + np.arange(FANOUT)
-            hits = below.ravel()
-            size = len(self.points) if tops is self.levels[0][0] else len(self.levels[self._index(tops) - 1][0])
-            hits = hits[hits < size]
+        for level in range(len(self.levels) - 1, -1, -1):
+            tops, least = self.levels[level]
+            hits = np.flatnonzero(can(tops, least)) if hits is None else hits[can(tops[hits], least[hits])]
+            hits = (hits[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            hits = hits[hits < (len(self.levels[level - 1][0]) if level else len(self.points))]
         if hits is None:
             hits = np.arange(len(self.points))
         return self.order[hits[can(self.points[hits], self.sizes[hits])]]
 
-    def _index(self, tops) -> int:
-        return next(i for i, x in enumerate(self.levels) if x[0] is tops)
+
+def count_vectors(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in sets], dtype=np.int32).reshape(len(sets), GROUPS)
+
+
+def linked_pairs(sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray, told: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Positions of verified pairs that join what links between members in ``asks`` and in ``told`` join.
+
+    ``labels`` (changed here) says what is linked already; pairs with one label are skipped.
+    """
+    points, sizes = count_vectors(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    tree, out, done = CountTree(points, sizes), [], np.zeros(len(sets), dtype=bool)
+    for q in np.flatnonzero(asks):
+        done[q] = told[q]  # it was compared with all of them
+        hits = tree.search(points[q], int(sizes[q]), num, den)
+        hits = hits[(labels[hits] != labels[q]) & told[hits] & ~done[hits]]
+        while len(hits):
+            c, hits = hits[0], hits[1:]
+            common = len(np.intersect1d(sets[q], sets[c], assume_unique=True))
+            if common * (den + num) >= (len(sets[q]) + len(sets[c])) * num:
+                out.append((int(q), int(c)))
+                labels[labels == labels[c]] = labels[q]
+                hits = hits[labels[hits] != labels[q]]
+    return out
 
 
 def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -191,208 +171,204 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100)
     one row for each row of ``docs``.  component_id is the least doc_id that
     links reach.  Null texts and texts without words have an empty set and link
     with nothing (component_id is their doc_id).  A null doc_id is never the
-    least unless all of a component are null.  Other columns are not read; an
-    empty table gives no rows.
+    least unless all of a component are null; rows may repeat.  Other columns are
+    not read; an empty table gives no rows.
+
+    n-grams are compared by 64-bit hashes, whole sets by two more of them.
     """
     spark = docs.sparkSession
     rows = materialize(_points(docs, width, num, den), "jaccard-rows")
-    sets = rows.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("f2").alias("f2"), F.max("f2").alias("f2_max"), F.min("n").alias("n"), F.first("counts").alias("counts"))
-    sets = materialize(sets, "jaccard-sets")
-    if sets.where("f2 <> f2_max").limit(1).count():
-        raise ValueError("two sets share a 64-bit fingerprint: change the constants of fingerprint()")
-
-    entries = rows.where("n > 0").select(F.explode("nodes").alias("node"), "f")
-    nodes = materialize(entries.groupBy("node").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).where("lo < hi"), "jaccard-nodes")
-    members = materialize(entries.join(nodes, "node").distinct(), "jaccard-members")
-    remove(nodes, spark)
-
-    ends = members.select(F.col("lo").alias("a"), F.col("f").alias("b")).union(members.select(F.col("f").alias("a"), F.col("hi").alias("b"))).where("a < b").distinct()
-    links, roots = _linked(_bounded(ends, sets, num, den), None, docs, sets, width, num, den)
-    _, roots = _linked(_searched(members, sets, roots, num, den), links, docs, sets, width, num, den)
-    remove(members, spark)
-
-    rooted = sets.join(roots, sets["f"] == roots["node"], "left").withColumn("root", F.coalesce("root", "f"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("c"))
-    grouped = rooted.join(least.where("c > 1"), "root").select("f", "component_id", "copies")
-    return rows.join(grouped, "f", "left").select(
+    names = materialize(rows.select("doc_id", "n", "f", "f2"), "jaccard-names")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "k")).alias("first")
+    sets = rows.where("n > 0").groupBy("f", "f2").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("win").alias("win"))
+    sets = materialize(sets.select(F.monotonically_increasing_id().alias("s"), "*"), "jaccard-sets")
+    remove(rows, spark)
+
+    entries = sets.select("s", F.explode("win").alias("h"))
+    shared = _kept(entries, sets, F.expr(f"greatest(1, {_window_sql(f'({_least_sql("n", num, den)})', num, den)} - {_differ_sql('n', num, den)})"))
+    whole = _whole(docs, shared.join(sets.select("s", "first"), "s"), width)
+    roots = components(_meeting(whole, num, den), "jaccard-branches")
+    cells = materialize(whole.join(roots, whole["s"] == roots["node"]).select("root", "s", "n", "items"), "jaccard-cells")
+    remove(whole, spark)
+    remove(roots, spark)
+    links = _first_links(cells, num, den)
+    sizes = cells.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("load")).where(_parts("size", "load") > 1)
+    if sizes.limit(1).count():
+        links = materialize(links.unionByName(_other_links(cells, sizes, links, num, den)), "jaccard-links")
+    roots = components(links, "jaccard-components")
+    remove(cells, spark)
+    remove(links, spark)
+
+    rooted = sets.drop("win").join(roots, sets["s"] == roots["node"], "left").withColumn("root", F.coalesce("root", "s"))
+    least = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"), F.sum("copies").alias("c"))
+    grouped = rooted.join(least.where("c > 1"), "root").select("f", "f2", "component_id", "copies")
+    return names.join(grouped, ["f", "f2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.coalesce("copies", F.lit(1))).otherwise(F.lit(1)).alias("n_copies"),
+        F.coalesce("copies", F.lit(1)).alias("n_copies"),
     )
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in arrays], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, dtype=np.int64)))
+
+
 def _points(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``doc_id, k (hash of the text), n, f, f2 (fingerprints), win (least hashes)``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f, g, nodes, counts = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, width)
-                n.append(len(s))
+            n, f, g, least = [], [], [], []
+            for text in batch.column(2):
+                s = shingles(text.as_py(), width)
                 a, b = fingerprint(s) if len(s) else (None, None)
+                n.append(len(s))
                 f.append(a)
                 g.append(b)
-                counts.append(count_vector(s))
-                nodes.append(node_keys(s, num, den) if len(s) else np.empty(0, dtype=np.int64))
-            offsets = np.zeros(len(nodes) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in nodes], out=offsets[1:])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(nodes) if nodes else np.empty(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), pa.array(counts, pa.binary()), lists], names=["doc_id", "n", "f", "f2", "counts", "nodes"])
+                least.append(s[: window(len(s), num, den)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), _lists(least)], names=["doc_id", "k", "n", "f", "f2", "win"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, f long, f2 long, counts binary, nodes array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("k"), "text").mapInArrow(run, f"doc_id {kind}, k long, n long, f long, f2 long, win array<long>")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sizes and summed minima of counts allow the threshold."""
-    one = sets.select(F.col("f").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    two = sets.select(F.col("f").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    sizes = (F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num)
+def _common(entries: DataFrame) -> DataFrame:
+    """``h, times`` of the n-grams of ``entries (s, h)`` that more than one set has."""
+    return entries.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, ca, cb = batch.columns
-            if batch.num_rows:
-                shared = np.minimum(points_of(ca.to_pylist()), points_of(cb.to_pylist())).sum(1)
-                both = na.to_numpy() + nb.to_numpy()
-                keep = pa.array(shared * (den + num) >= num * both)
-                yield pa.RecordBatch.from_arrays([a, b, pa.array(both)], names=["a", "b", "items"]).filter(keep)
 
-    joined = pairs.join(one, "a").join(two, "b").where(sizes).select("a", "b", "na", "nb", "ca", "cb")
-    return joined.mapInArrow(run, "a long, b long, items long")
+def _differ_sql(n: str, num: int, den: int) -> str:
+    return f"({n} * {den - num} div {num})"
 
 
-def _linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """All links so far, and their components, after verifying ``pairs (a, b, items)``.
+def _window_sql(n: str, num: int, den: int) -> str:
+    d = _differ_sql(n, num, den)
+    return f"(CASE WHEN {d} > 0 THEN least({n}, 2 * {d} + 2) ELSE 0 END)"
 
-    First one pair for each ``b``; the components that this gives leave only the
-    pairs between different ones, so a pair is read only if it can matter.
-    """
-    spark = docs.sparkSession
-    todo = materialize(pairs, "jaccard-pairs")
-    whole = materialize(_whole_sets(docs, todo, sets, width), "jaccard-whole")
-    size = whole.agg(F.sum("n")).first()[0] or 0
-    for one_each in (True, False):
-        now = todo.groupBy("b").agg(F.min(F.struct("a", "items")).alias("x")).select("x.a", "b", "x.items") if one_each else todo
-        found = _verified(now, whole, size, num, den)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        if one_each:
-            rest = _apart(todo.join(now.select("a", "b"), ["a", "b"], "left_anti"), roots)
-            old, todo = todo, materialize(rest, "jaccard-pairs")
-            remove(old, spark)
-            if not todo.limit(1).count():
-                break
-    remove(todo, spark)
-    remove(whole, spark)
-    return links, roots
 
+def _least_sql(n: str, num: int, den: int) -> str:
+    """The least set that a set of ``n`` may link with, and the least overlap with any."""
+    return f"({n} * {num} + {den - 1}) div {den}"
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs of different components."""
-    one, two = (roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
-    return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b", "items")
 
+def _kept(entries: DataFrame, sets: DataFrame, least: Column) -> DataFrame:
+    """``s`` of the sets that share at least ``least`` of their entries with any other set."""
+    common = materialize(_common(entries), "jaccard-common")
+    counts = entries.join(common, "h").groupBy("s").agg(F.count("*").alias("had"))
+    kept = materialize(counts.join(sets.select("s", "n"), "s").where(F.col("had") >= least).select("s"), "jaccard-kept")
+    remove(common, entries.sparkSession)
+    return kept
 
-def _whole_sets(docs: DataFrame, pairs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """``f, n, items`` of every set in ``pairs``."""
-    needed = pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct().join(sets, "f").select(F.col("least").alias("_least"), F.col("f").alias("_f"))
-    texts = docs.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("_least"))).select("_f", "text")
+
+def _whole(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``s, n, items`` of the wanted sets, from the texts that ``first`` names."""
+    keyed = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_k"), F.col("text").alias("_text"))
+    named = wanted.select("s", F.col("first.doc_id").alias("_d"), F.col("first.k").alias("_h"))
+    texts = keyed.join(named, keyed["_id"].eqNullSafe(named["_d"]) & (keyed["_k"] == named["_h"])).select("s", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ns, items = [], [], []
-            for want, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, width)
-                if len(s) and fingerprint(s)[0] == want:  # doc_ids may repeat
-                    ids.append(want)
-                    ns.append(len(s))
-                    items.append(s.view(np.int64))
-            offsets = np.zeros(len(items) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in items], out=offsets[1:])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(items) if items else np.empty(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), lists], names=["f", "n", "items"])
-
-    return texts.mapInArrow(run, "f long, n long, items array<long>").dropDuplicates(["f"])
-
-
-def _verified(pairs: DataFrame, whole: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets reach the threshold, as a written table.
-
-    A pair brings both sets together; pairs are taken in slices that move about
-    twice as much as all the sets hold (``size`` items), one slice at a time.
-    """
-    one = whole.select(F.col("f").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
-    two = whole.select(F.col("f").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    moved = pairs.agg(F.sum("items")).first()[0] or 0
-    slices = max(1, -(-moved // max(2 * size, SLICE_ITEMS)))
-    common = F.size(F.array_intersect("ia", "ib"))
-    out = None
-    for i in range(slices):
-        part = pairs.select("a", "b").where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == i)
-        good = part.join(two, "b").join(one, "a").where(common * (den + num) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
-        good = materialize(good, "jaccard-links")
-        out = good if out is None else out.unionByName(good)
-    return out
+            items = [shingles(text.as_py(), width) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in items], pa.int64()), _lists(items)], names=["s", "n", "items"])
 
+    return materialize(texts.mapInArrow(run, "s long, n long, items array<long>").dropDuplicates(["s"]), "jaccard-whole")
 
-def _searched(members: DataFrame, sets: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components that the R-trees of the nodes let through.
 
-    In each node the members of the commonest component are searched by all
-    others, and these search each other.  Searching members and searched members
-    are dealt into cells of bounded size.
+def _meeting(whole: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: each set and the least one of every node that it enters with others.
+
+    Only n-grams that other sets have count.  A set that lacks enough of them has no
+    link.  In the common order (rarest first, then by hash) the first n-gram that two
+    linked sets share is among the first ``had - least + 1`` of both.
     """
-    rooted = members.join(roots, members["f"] == roots["node"], "left").select(members["node"].alias("key"), "f", "lo", "hi", F.coalesce("root", "f").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum(F.xxhash64("f").cast("decimal(38,0)")).alias("print"), F.count("*").alias("size")).where("r0 < r1")
-    # nodes with the same members are one
-    open_keys = open_keys.groupBy("print", "size").agg(F.min("key").alias("key")).select("key", "size")
-    # two members are its least and greatest, and verified
-    mine = rooted.join(open_keys.where("size > 2"), "key")
-    per_root = mine.groupBy("key", "root").agg(F.count("*").alias("c"))
-    common = per_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("x"))
-    mine = mine.join(common, "key").withColumn("queries", F.col("size") - F.col("x.c")).join(sets.select("f", "n", "counts"), "f")
-    n_q, n_t = F.ceil(F.col("queries") / CELL).cast("int"), F.ceil(F.col("size") / CELL).cast("int")
-    place = F.xxhash64("f", F.lit(3))
-    base = mine.select("key", "f", "root", "n", "counts", "lo", "hi", (F.col("root") != F.col("x.root")).alias("asks"), n_q.alias("nq"), n_t.alias("nt"))
-    asks = base.where("asks").withColumns({"q": F.pmod(place, F.col("nq")).cast("int"), "side": F.lit(0)}).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
-    told = base.withColumns({"t": F.pmod(place, F.col("nt")).cast("int"), "side": F.lit(1)}).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-    columns = ["key", "q", "t", "side", "f", "root", "n", "counts", "lo", "hi"]
-    cells = asks.select(columns).unionByName(told.select(columns)).repartition("key", "q", "t").sortWithinPartitions("key", "q", "t", "side")
+    spark = whole.sparkSession
+    entries = whole.select("s", "n", F.explode("items").alias("h"))
+    common = materialize(_common(entries), "jaccard-common")
+    listed = entries.join(common, "h").groupBy("s", "n").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("hs"))
+    short = F.expr(f"size(hs) - {_least_sql('n', num, den)} + 1").cast("int")
+    keys = listed.withColumn("short", short).where("short > 0").select("s", F.explode(F.slice("hs", F.lit(1), F.col("short"))).alias("x")).select("s", "x.h")
+    keys = materialize(keys, "jaccard-keys")
+    nodes = keys.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi")
+    edges = materialize(keys.join(nodes, "h").where("s <> lo").select(F.col("s").alias("a"), F.col("lo").alias("b")).distinct(), "jaccard-edges")
+    remove(common, spark)
+    remove(keys, spark)
+    return edges
+
 
+def _parts(size: str, load: str) -> Column:
+    """How many cells a branch is cut into."""
+    return F.greatest(F.ceil(F.col(size) / CELL), F.ceil(F.col(load) / CELL_ITEMS)).cast("int")
+
+
+def _place(parts: str) -> Column:
+    return F.pmod(F.xxhash64("s", F.lit(3)), F.col(parts)).cast("int")
+
+
+def _every(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def _first_links(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """Spanning links ``a, b`` inside each cell; a branch's least member is in all its cells."""
+    sizes = cells.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("load")).select("root", _parts("size", "load").alias("parts"))
+    dealt = cells.join(sizes, "root").withColumn("t", F.when(F.col("s") == F.col("root"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_place("parts"))))
+    dealt = dealt.select("root", F.lit(0).alias("q"), F.explode("t").alias("t"), F.lit(0).alias("side"), "s", F.col("s").alias("label"), "items")
+    return _searched(dealt, num, den, both=True)
+
+
+def _other_links(cells: DataFrame, sizes: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between what the cells of a branch have left apart.
+
+    The members of the commonest component are searched by all others, and these
+    search each other.  Both sides are dealt into cells.
+    """
+    spark = cells.sparkSession
+    roots = components(links, "jaccard-components")
+    large = cells.join(sizes.select("root", _parts("size", "load").alias("nt")), "root")
+    labelled = large.join(roots.select(F.col("node").alias("s"), F.col("root").alias("label")), "s", "left").withColumn("label", F.coalesce("label", "s"))
+    light = labelled.select("root", "label", "n", "nt")
+    per_label = light.groupBy("root", "label").agg(F.count("*").alias("c"), F.sum("n").alias("l"))
+    apart = per_label.groupBy("root").agg(F.max(F.struct("c", "label", "l")).alias("x"), F.sum("c").alias("c"), F.sum("l").alias("l"))
+    apart = apart.select("root", F.col("x.label").alias("common"), (F.col("c") - F.col("x.c")).alias("others"), (F.col("l") - F.col("x.l")).alias("weight")).where("others > 0")
+    base = labelled.join(apart.select("root", "common", _parts("others", "weight").alias("nq")), "root")
+    asks = base.where("label <> common").withColumns({"q": _place("nq"), "side": F.lit(0)}).withColumn("t", _every("nt"))
+    told = base.withColumns({"t": _place("nt"), "side": F.lit(1)}).withColumn("q", _every("nq"))
+    columns = ["root", "q", "t", "side", "s", "label", "items"]
+    found = _searched(asks.select(columns).unionByName(told.select(columns)), num, den, both=False)
+    remove(roots, spark)
+    return found
+
+
+def _searched(dealt: DataFrame, num: int, den: int, both: bool) -> DataFrame:
+    """Verified links ``a, b`` of all cells ``root, q, t``; with ``both`` any members are compared, else side 0 with side 1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            columns_ = [c.to_pylist() for c in batch.columns]
-            a, b, w = [], [], []
-            for row in zip(*columns_, strict=True):
-                if held and held[-1][:3] != row[:3]:
-                    _cell(held, a, b, w, num, den)
+            items = batch.column(6)
+            flat, at = items.values.to_numpy().view(np.uint64), items.offsets.to_numpy()
+            a, b = [], []
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
+                if held and held[-1][0][:3] != row[:3]:
+                    _cell(held, a, b, num, den, both)
                     held = []
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, w)], names=["a", "b", "items"])
-        a, b, w = [], [], []
-        _cell(held, a, b, w, num, den)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, w)], names=["a", "b", "items"])
+                held.append((row, flat[at[i] : at[i + 1]].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a, b = [], []
+        _cell(held, a, b, num, den, both)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long, items long").distinct()
+    cells = dealt.repartition("root", "q", "t").sortWithinPartitions("root", "q", "t", "side")
+    return materialize(cells.mapInArrow(run, "a long, b long"), "jaccard-links", BATCH)
 
 
-def _cell(rows: list[tuple], a: list, b: list, w: list, num: int, den: int) -> None:
-    asks = [r for r in rows if r[3] == 0]
-    told = [r for r in rows if r[3] == 1]
-    if not asks or not told:
+def _cell(held: list[tuple], a: list, b: list, num: int, den: int, both: bool) -> None:
+    if len(held) < 2:
         return
-    points, queries = points_of([r[7] for r in told]), points_of([r[7] for r in asks])
-    roots, ids = np.array([r[5] for r in told]), np.array([r[4] for r in told])
-    sizes = np.array([r[6] for r in told])
-    tree = CountTree(points, sizes)
-    for r, q in zip(asks, queries, strict=True):
-        hits = tree.search(q, r[6], num, den)
-        hits = hits[(roots[hits] != r[5])]
-        for other, n in zip(ids[hits].tolist(), sizes[hits].tolist(), strict=True):
-            x, y = min(r[4], other), max(r[4], other)
-            if x != r[8] and y != r[9]:  # those were verified before
-                a.append(x)
-                b.append(y)
-                w.append(n + r[6])
+    sets = [s for _, s in held]
+    labels = np.array([row[5] for row, _ in held])
+    asks = np.array([row[3] == 0 for row, _ in held])
+    for x, y in linked_pairs(sets, labels, asks, asks if both else ~asks, num, den):
+        a.append(held[x][0][4])
+        b.append(held[y][0][4])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,20 +29,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/phenoweave/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the reread table.
 
     The result has no lineage, survives lost executors and gives the same rows
     on every read (needed wherever ids of rows or random samples are used).
+    ``batch`` is the most rows of an Arrow batch, for steps with long rows.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    was = spark.conf.get(DROP_SHUFFLES, "false")
-    spark.conf.set(DROP_SHUFFLES, "true")  # the written rows are whole: nobody reads the shuffles again
+    settings = {DROP_SHUFFLES: "true"}  # the written rows are whole: nobody reads the shuffles again
+    if batch:
+        settings[BATCH_ROWS] = str(batch)
+    was = {k: spark.conf.get(k, None) for k in settings}
     try:
-        df.select("*").write.parquet(path)  # a new query takes up the setting
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df.select("*").write.parquet(path)  # a new query takes up the settings
     finally:
-        spark.conf.set(DROP_SHUFFLES, was)
+        for k, v in was.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -49,17 +49,18 @@ def corpus(seed, n=400):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_same_as_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "width", "num"), [(1, 3, 90), (2, 3, 90), (3, 5, 80), (4, 2, 60)])
+def test_same_as_brute_force(spark, seed, width, num):
     rows = corpus(seed)
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n string")
-    out = jaccard.jaccard_join(docs).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows)
+    docs = spark.createDataFrame([(*r, "x", 0, 1) for r in rows], "doc_id long, text string, n string, root int, s int")
+    out = jaccard.jaccard_join(docs, width, num).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows, num, 100, width)
 
 
-def test_small_cells_and_many_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize(("num", "items"), [(90, 4_000_000), (80, 600)])
+def test_small_cells_and_many_near_copies(spark, monkeypatch, num, items):
+    monkeypatch.setattr(jaccard, "CELL_ITEMS", items)
     monkeypatch.setattr(jaccard, "CELL", 8)
-    monkeypatch.setattr(jaccard, "SLICE_ITEMS", 2000)
     r = random.Random(4)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -69,8 +70,8 @@ def test_small_cells_and_many_near_copies(spark, monkeypatch):
             w[r.randrange(len(w))] = f"x{r.randrange(10_000)}"
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = jaccard.jaccard_join(docs).collect()
-    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == brute(rows)
+    out = jaccard.jaccard_join(docs, 3, num).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in out) == brute(rows, num)
 
 
 def test_edge_cases(spark):
@@ -93,17 +94,30 @@ def test_tree_loses_nothing():
         assert sorted(tree.search(points[i], int(sizes[i]), 90, 100).tolist()) == want.tolist()
 
 
-def test_blocks_agree_for_near_sets():
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (67, 100), (50, 100), (99, 100)])
+def test_windows_of_linked_sets_share_enough(num, den):
     r = np.random.default_rng(1)
-    for n in [10, 11, 19, 25, 60, 150, 800, 5000]:
-        for _ in range(60):
+    for n in [1, 2, 3, 4, 5, 8, 9, 10, 11, 19, 25, 60, 150, 800, 5000]:
+        for _ in range(80):
             a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-            d = int(2 * len(a) * 10 / 190)
-            cut = int(r.integers(0, d + 1)) if d else 0
-            b = np.unique(np.concatenate([a[cut:], r.integers(0, 2**63, d - cut).astype(np.uint64)]))
-            inter = len(np.intersect1d(a, b))
-            if 100 * inter >= 90 * (len(a) + len(b) - inter) and not np.array_equal(a, b):
-                assert set(jaccard.node_keys(a, 90, 100).tolist()) & set(jaccard.node_keys(b, 90, 100).tolist())
+            d = n * (den - num) // num
+            gone, new = (int(x) for x in r.integers(0, d + 1, 2))
+            gone = r.choice(len(a), min(gone, len(a) - 1), replace=False)
+            b = np.unique(np.concatenate([np.delete(a, gone), r.integers(0, 2**63, new).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if den * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
+                wa, wb = (s[: jaccard.window(len(s), num, den)] for s in (a, b))
+                common = len(np.intersect1d(wa, wb))
+                assert common >= max(jaccard.shared_in_window(len(s), num, den) for s in (a, b))
+                assert len(a) + len(b) - 2 * both <= min(jaccard.differ(len(s), num, den) for s in (a, b))
+
+
+def test_bounds_are_the_same_in_sql(spark):
+    for num, den in [(90, 100), (80, 100), (50, 100)]:
+        least = jaccard._least_sql("n", num, den)
+        got = spark.range(1, 400).toDF("n").selectExpr("n", f"{jaccard._window_sql('n', num, den)} AS w", f"greatest(1, {jaccard._window_sql(f'({least})', num, den)} - {jaccard._differ_sql('n', num, den)}) AS o")
+        for n, w, o in got.collect():
+            assert (w, o) == (jaccard.window(n, num, den), jaccard.shared_in_window(n, num, den))
 
 
 def test_components(spark):
@@ -124,12 +138,3 @@ def test_components(spark):
                 todo.append(y)
         assert got[a] == min(seen)
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def test_stored_counts_are_upper_bounds():
-    r = np.random.default_rng(3)
-    for n in (1, 50, 20_000, 40_000, 3_000_000):
-        s = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        true = np.bincount((s & np.uint64(jaccard.GROUPS - 1)).astype(int), minlength=jaccard.GROUPS)
-        stored = jaccard.points_of([jaccard.count_vector(s)])[0]
-        assert (stored >= true).all() and (stored <= true * 1.02 + 1).all()
