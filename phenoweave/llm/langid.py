@@ -23,8 +23,10 @@ from .store import materialize
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3)
-#: Bounds of the labelled sample that weights are fitted on; languages learnt at most.
-MAX_PER_LANGUAGE, MAX_LANGUAGES = 400, 200
+#: Bounds of the labelled sample that weights are fitted on: texts of one language, texts of all.
+MAX_PER_LANGUAGE, MAX_TEXTS = 400, 20_000
+#: More values than this aren't taken for languages: fitting stops with an error.
+MAX_LANGUAGES = 1000
 #: Random cuts of each sampled text that are learnt as well, for short texts.
 CUTS, CUT_CHARS = 2, (12, 120)
 UNKNOWN = "und"
@@ -116,15 +118,19 @@ def document_frequencies(rows: DataFrame, fan_in: int = 32) -> tuple[np.ndarray,
     return total[:DIM], int(total[DIM])
 
 
-def sample(rows: DataFrame, per_language: int, max_languages: int) -> DataFrame:
-    """At most ``per_language`` rows of each language, those of least hash."""
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    shares = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("count")).alias("_p"))
+def sample(rows: DataFrame, per_language: int, most: int) -> DataFrame:
+    """Rows of every language, those of least hash: ``per_language`` of each, or fewer so that all are ``most`` at most."""
+    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1)
+    number = counts.count()
+    if number > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
+    each = max(1, min(per_language, most // max(number, 1)))
+    shares = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(4.0 * each) / F.col("count")).alias("_p"))
     spot = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     # thinned by a hash before rows of a language meet
     near = rows.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).withColumn("_h", spot).where(F.col("_h") < F.col("_p"))
     w = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_language).select("lang", "text", "_h")
+    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= each).select("lang", "text", "_h")
 
 
 def _examples(chosen: DataFrame) -> pd.DataFrame:
@@ -198,24 +204,29 @@ def _temperature(s: np.ndarray, y: np.ndarray) -> float:
     return float(min(np.geomspace(0.05, 10, 120), key=loss))
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = MAX_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+def fit(docs: DataFrame, learn: Column, per_language: int = MAX_PER_LANGUAGE, most: int = MAX_TEXTS) -> Model:
     """A model from text and non-null lang of the rows where ``learn`` holds.
 
-    Document frequencies cover all of these rows; weights a bounded sample.
+    Document frequencies cover all of these rows; weights a bounded sample, in
+    which every language has its share.  Rows with a null text or lang aren't
+    learnt from, rows that repeat count each, other columns are not read; an
+    empty table gives a model that answers ``und``.
     """
     rows = docs.where(learn).select("doc_id", "text", "lang").where("lang is not null and text is not null")
     df, n = document_frequencies(rows)
-    return train(_examples(sample(rows, per_language, max_languages)), df, n)
+    return train(_examples(sample(rows, per_language, most)), df, n)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], prefix: str = "") -> DataFrame:
-    """``keep`` and lang_pred, score for every row, whole texts, no shuffle.
+def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` and the predicted language and its probability, for every row, whole texts, no shuffle.
 
     ``und`` with score 0 for a null text, one without a letter, and if nothing
-    was learnt.
+    was learnt.  ``names`` are the two new columns; ``keep`` may have any other
+    names, ``text`` as well.  Repeated rows repeat; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights for each language
-    columns = docs.select(*keep, F.col("text").alias("_text"))
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    columns = docs.select(*kept, F.col("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -231,7 +242,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], prefix: str = "") ->
                 else:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, f"{prefix}lang_pred", f"{prefix}score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    schema = columns.drop("_text").withColumns({f"{prefix}lang_pred": F.lit("").cast("string"), f"{prefix}score": F.lit(0.0)}).schema
-    return columns.mapInArrow(run, schema)
+    schema = columns.drop("t").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    return columns.mapInArrow(run, schema).toDF(*keep, *names)

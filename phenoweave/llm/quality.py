@@ -131,7 +131,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
     """Every row's score, learnt from the labelled rows where ``learn`` holds.
 
     Columns doc_id, score (0 to 1, higher: label 1 likelier).  ``learn`` reads
-    doc_id only.  The fit takes the ``max_rows`` labelled rows of least hash;
+    doc_id only.  The fit takes ``max_rows`` labelled rows of least hash;
     labels other than 0 and 1 and rows without doc_id aren't learnt from, several
     labels of one doc_id count each.  Null and empty texts are scored like any
     other; repeated rows repeat; an empty table gives no rows.
@@ -140,7 +140,9 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX
     rows = materialize(features(docs), "quality-features")
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)")
     sample = rows.where(learn).join(known, F.col("doc_id") == F.col("_id")).select("x", "y", F.xxhash64("doc_id", "y").alias("h"))
-    found = sample.orderBy("h", "x").limit(max_rows).collect()
+    share = min(1.0, 2.0 * max_rows / max(sample.count(), 1))  # thinned by the hash before rows are sent
+    near = sample.where(F.shiftrightunsigned("h", 34) <= int(share * (1 << 30)))
+    found = near.orderBy(F.shiftrightunsigned("h", 1), "x").limit(max_rows).collect()
     x = np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES))
     model = spark.sparkContext.broadcast(fit(x, np.array([r["y"] for r in found], dtype=float)))
 

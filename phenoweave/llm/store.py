@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+HOT_KEYS = 100_000
+LEAST_HOT = 1000  # keys of fewer rows are never hot
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset
-    (tests on one machine) a temporary folder is made and remembered.
+    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset and
+    Spark runs on one machine a temporary folder is made and remembered.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="phenoweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -63,6 +67,33 @@ def remove(df_or_path, spark: SparkSession) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` for their keys, null where it has none.
+
+    ``keys`` are unique in ``table``, and ``size`` says how many rows have them.
+    Keys of more than a HOT_KEYS-th of all these rows are looked up by broadcast
+    (at most HOT_KEYS of them); all others are joined by a shuffle, where none of
+    them weighs much.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    most = max(LEAST_HOT, total // HOT_KEYS)
+    hot = table.where(F.col(size) > most)
+    names = [c for c in table.columns if c not in keys]
+    if not hot.limit(1).count():
+        return rows.join(table, keys, "left")
+    hit = rows.join(F.broadcast(hot), keys).select(*rows.columns, *names)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(size) <= most), keys, "left")
+    return hit.unionByName(rest.select(*rows.columns, *names))
+
+
 def placed(docs: DataFrame, name: str = "_place") -> DataFrame:
     """``docs`` with a column that tells every row from every other.
 

@@ -25,10 +25,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize, new_path
+from .store import lookup, materialize, new_path
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 NEW_FILE_BYTES = 1 << 30
+TASK_BYTES, MOST_TASKS = 1 << 24, 20_000  # archive bytes that a reading task gets, unless there are too many tasks
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, RFC 4122
 
 
@@ -86,7 +87,7 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     ``refers_to`` is null for responses.  Payloads under ``least_bytes`` are all
     responses.  Rows with the kept page_id and the same payload are all
     responses; a null page_id never is the kept one unless all are null.  Only
-    digests that occur twice are joined back; adaptive execution splits hot ones.
+    digests that occur twice are looked up, hot ones without a shuffle.
     """
     p = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url",
@@ -95,9 +96,10 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     keyed = p.select("page_id", F.sha1("payload").alias("_sha1"), F.octet_length("payload").alias("_n"))
     copies = (
         keyed.where(F.col("_n") >= least_bytes).groupBy("_sha1", "_n")
-        .agg(F.max("page_id").alias("_keep"), F.count("*").alias("_c")).where("_c > 1 and _keep is not null").drop("_c")
+        .agg(F.max("page_id").alias("_keep"), F.count("*").alias("_c")).where("_c > 1 and _keep is not null")
     )
-    joined = p.withColumns({"_sha1": F.sha1("payload"), "_n": F.octet_length("payload")}).join(copies, ["_sha1", "_n"], "left")
+    copies = materialize(copies, "warc-copies")
+    joined = lookup(p.withColumns({"_sha1": F.sha1("payload"), "_n": F.octet_length("payload")}), copies, ["_sha1", "_n"], "_c")
     other = F.col("_keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_keep"))
     return joined.select("page_id", "url", "payload", F.when(other, F.col("_keep")).alias("refers_to"))
 
@@ -157,7 +159,9 @@ def read(selected: DataFrame, folder: str, gap: int = 1 << 16, most: int = 1 <<
                     span = []
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds, strict=True)], names=[c.split()[0] for c in fields.split(", ")])
 
-    dealt = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    held = selected.agg(F.sum("length")).first()[0] or 0  # by archive bytes: index rows say nothing about the work
+    tasks = max(1, min(MOST_TASKS, -(-held // TASK_BYTES)))
+    dealt = selected.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(run, fields)
 
 
