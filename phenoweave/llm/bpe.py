@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 #: Pieces kept per worker before the cache starts anew, and the longest kept.
 CACHE_PIECES, CACHE_BYTES = 200_000, 256
 
@@ -88,7 +90,7 @@ class Vocabulary:
         """Whether the encoding of the bytes of ``a`` and ``b`` is these two tokens."""
         known = self._follows.get((a, b))
         if known is None:
-            if len(self._follows) > 2_000_000:
+            if len(self._follows) > 300_000:
                 self._follows.clear()
             known = self._follows[a, b] = self._border_holds(self.edges(a)[0], self.edges(b)[1])
         return known
@@ -231,7 +233,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "tex
 
     if ids in docs.columns:
         raise ValueError(f"the table already has a column {ids}")
-    return docs.mapInArrow(run, _schema(docs, f"{ids} array<int>"))
+    return small_batches(docs).mapInArrow(run, _schema(docs, f"{ids} array<int>"))
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -247,7 +249,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, pattern: str, ids: str = "i
 
     if out in encoded.columns:
         raise ValueError(f"the table already has a column {out}")
-    return encoded.mapInArrow(run, _schema(encoded, f"{out} binary"))
+    return small_batches(encoded).mapInArrow(run, _schema(encoded, f"{out} binary"))
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame:
@@ -273,7 +275,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "matches"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, matches boolean")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, matches boolean")
 
 
 def _schema(df: DataFrame, extra: str):

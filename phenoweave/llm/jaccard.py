@@ -30,14 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialize, remove
+from .store import materialize, remove, small_batches
 
 GROUPS = 256  # coordinates of the count vectors
 CELL = 1024  # members that one task compares with as many others
 CELL_ITEMS = 4_000_000  # n-grams that one task holds of either side, but for a single longer set
 BATCH = 512  # sets in one Arrow batch
 FANOUT = 16
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 U = np.uint64
 
 
@@ -231,7 +231,7 @@ def _points(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 least.append(s[: window(len(s), num, den)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), _lists(least)], names=["doc_id", "k", "n", "f", "f2", "win"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("k"), "text").mapInArrow(run, f"doc_id {kind}, k long, n long, f long, f2 long, win array<long>")
+    return small_batches(docs).select("doc_id", F.xxhash64("text").alias("k"), "text").mapInArrow(run, f"doc_id {kind}, k long, n long, f long, f2 long, win array<long>")
 
 
 def _common(entries: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, small_batches, unused
 
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
@@ -107,7 +107,7 @@ def document_frequencies(rows: DataFrame, fan_in: int = 32) -> tuple[np.ndarray,
                 df += np.frombuffer(raw, dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()])], names=["df"])
 
-    sums = rows.select("text").mapInArrow(count, "df binary")
+    sums = small_batches(rows).select("text").mapInArrow(count, "df binary")
     sums = materialize(sums, "langid-df")
     n = sums.count()
     while n > 1:
@@ -224,25 +224,23 @@ def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, st
     was learnt.  ``names`` are the two new columns; ``keep`` may have any other
     names, ``text`` as well.  Repeated rows repeat; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights for each language
-    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
-    columns = docs.select(*kept, F.col("text").alias("t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                at, counts = ngrams(text)
-                if len(at) and m.languages:
-                    p = m.probabilities(at, counts)
-                    best = int(p.argmax())
-                    langs.append(m.languages[best])
-                    scores.append(float(p[best]))
-                else:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
-
-    schema = columns.drop("t").withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
-    return columns.mapInArrow(run, schema).toDF(*keep, *names)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # DIM weights for each language
+
+    @F.arrow_udf("lang string, score double")  # only the text goes to Python
+    def best(texts: pa.Array) -> pa.Array:
+        m, langs, scores = shared.value, [], []
+        for text in texts:
+            at, counts = ngrams(text.as_py())
+            if len(at) and m.languages:
+                p = m.probabilities(at, counts)
+                k = int(p.argmax())
+                langs.append(m.languages[k])
+                scores.append(float(p[k]))
+            else:
+                langs.append(UNKNOWN)
+                scores.append(0.0)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+
+    found = unused(docs, "found")
+    kept = [f"`{c}`" for c in keep]
+    return docs.select(*kept, best("text").alias(found)).select(*kept, F.col(found)["lang"].alias(names[0]), F.col(found)["score"].alias(names[1]))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 UNKNOWN = "unknown"
 #: Notices by family, as their licences word them.  ``{v}`` stands for a version.
 TEMPLATES = {
@@ -223,7 +225,7 @@ def scan(docs: DataFrame, model: Model, least: float = 0.5, cover: float = 0.6,
                 names=["doc_id", "n_paragraphs", "families", "n_notices", "score", "starts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_paragraphs long, families array<string>, n_notices long, score double, starts array<long>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_paragraphs long, families array<string>, n_notices long, score double, starts array<long>")
 
 
 def _document(m: Model, text: str, least: float, cover: float, window: int) -> tuple:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, small_batches
 
 FEATURES = (
     "log_words", "log_distinct", "distinct_share", "top_word_share", "word_length", "lines_per_word", "dup_line_share",
@@ -64,7 +64,7 @@ def features(docs: DataFrame) -> DataFrame:
             flat = pa.array(np.concatenate(x) if x else np.empty(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
 
 
 @dataclass

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 HOT_KEYS = 100_000
+TEXT_BATCH = 1024
 LEAST_HOT = 1000  # keys of fewer rows are never hot
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -67,6 +68,19 @@ def remove(df_or_path, spark: SparkSession) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, and Arrow batches of TEXT_BATCH rows at most in its session from here on.
+
+    Texts are long: the default of 10,000 rows holds hundreds of megabytes in each
+    Python worker and as much in the executor's buffers.
+    """
+    conf = df.sparkSession.conf
+    now = int(conf.get(BATCH_ROWS, "0"))
+    if not 0 < now <= TEXT_BATCH:
+        conf.set(BATCH_ROWS, str(TEXT_BATCH))
+    return df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import lookup, materialize, new_path
+from .store import lookup, materialize, new_path, small_batches
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 NEW_FILE_BYTES = 1 << 30
@@ -189,5 +189,5 @@ def archive(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     rows give a record each, other columns are not stored; an empty table gives no
     rows.
     """
-    folder = new_path(pages.sparkSession, "warc")
+    folder = new_path(small_batches(pages).sparkSession, "warc")
     return read(write(mark_revisits(pages, least_bytes), folder), folder)
