@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .adapters import Tables, with_tables
 from .functions import identifiers
-from .functions.text import STOPWORDS, is_negated, normalize_text
+from .functions.text import STOPWORDS, is_negated, normalize_text, starts_of
 from .operators import dense, evaluation, fusion, ontology, profiles, semantic, sets, tfidf
 from .plans.ranking import top_k
 
@@ -31,9 +31,9 @@ def query(sql: str | None, name: str | None = None):
 # --- set based scores -------------------------------------------------------------------
 _PAIRS = """pairs AS (
     SELECT p.patient_id, d.disease_id, count(x.term) AS c, max(p.n) AS a, max(d.n) AS b
-    FROM (SELECT patient_id, count(*) AS n FROM patient_term GROUP BY 1) p
+    FROM (SELECT patient_id, count(*) AS n FROM asked_term GROUP BY 1) p
     CROSS JOIN (SELECT disease_id, count(*) AS n FROM profile_term GROUP BY 1) d
-    LEFT JOIN (SELECT patient_id, disease_id, q.term FROM patient_term q JOIN profile_term t ON q.term = t.term) x
+    LEFT JOIN (SELECT patient_id, disease_id, q.term FROM asked_term q JOIN profile_term t ON q.term = t.term) x
       ON x.patient_id = p.patient_id AND x.disease_id = d.disease_id
     GROUP BY 1, 2)"""
 _TOP = """SELECT patient_id, CAST(rank AS INTEGER) AS rank, disease_id, round(score, 6) AS score FROM (
@@ -44,24 +44,26 @@ _SET_SQL = {
 }
 for _m, _e in _SET_SQL.items():
     query(f"WITH {_PAIRS}, scored AS (SELECT patient_id, disease_id, CAST({_e} AS DOUBLE) AS score FROM pairs) {_TOP}", f"{_m}_topk")(
-        lambda t, m=_m: sets.rank(t.patient_term, t.profile_term, m)
+        lambda t, m=_m: sets.rank(t.asked_term, t.profile_term, m)
     )
 
 
 @query(f"""WITH {_PAIRS}, clash AS (SELECT patient_id, disease_id, count(*) AS n FROM (
-        SELECT e.patient_id, t.disease_id, e.term FROM patient_excluded e JOIN profile_term t ON e.term = t.term
-        UNION SELECT p.patient_id, t.disease_id, p.term FROM patient_term p JOIN profile_negative t ON p.term = t.term) u GROUP BY 1, 2),
+        SELECT e.patient_id, t.disease_id, e.term FROM asked_excluded e JOIN profile_term t ON e.term = t.term
+        UNION SELECT p.patient_id, t.disease_id, p.term FROM asked_term p JOIN profile_negative t ON p.term = t.term) u GROUP BY 1, 2),
     scored AS (SELECT p.patient_id, p.disease_id, greatest(0.0, CAST(c AS DOUBLE) / (a + b - c) - 0.5 * coalesce(n, 0) / (a + b - c)) AS score
-        FROM pairs p LEFT JOIN clash k ON p.patient_id = k.patient_id AND p.disease_id = k.disease_id WHERE c > 0)
+        FROM pairs p LEFT JOIN clash k ON p.patient_id = k.patient_id AND p.disease_id = k.disease_id)
     {_TOP}""")
 def set_jaccard_penalized_topk(t):
-    scored = sets.penalized(t.patient_term, t.profile_term, t.patient_excluded, t.profile_negative)
-    return top_k(scored, ["patient_id"], 10).select("patient_id", "rank", "disease_id", F.round("score", 6).alias("score"))
+    scored = sets.penalized(t.asked_term, t.profile_term, t.asked_excluded, t.profile_negative)
+    return top_k(sets.with_zeros(scored, t.asked_term, t.profile_term, 10), ["patient_id"], 10).select("patient_id", "rank", "disease_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_PAIRS} SELECT patient_id, disease_id, c AS matched, a - c AS unmatched_patient, b - c AS unmatched_disease,
-    round(c / CAST(a AS DOUBLE), 6) AS patient_coverage, round(c / CAST(b AS DOUBLE), 6) AS disease_coverage,
-    round(abs(c / CAST(a AS DOUBLE) - c / CAST(b AS DOUBLE)), 6) AS asymmetry FROM pairs WHERE c > 0""")
+@query("""WITH pairs AS (SELECT p.patient_id, d.disease_id, count(*) AS c FROM patient_term p JOIN profile_term d ON p.term = d.term GROUP BY 1, 2),
+    np AS (SELECT patient_id, CAST(count(*) AS DOUBLE) AS a FROM patient_term GROUP BY 1), nd AS (SELECT disease_id, CAST(count(*) AS DOUBLE) AS b FROM profile_term GROUP BY 1)
+    SELECT patient_id, disease_id, c AS matched, CAST(a - c AS BIGINT) AS unmatched_patient, CAST(b - c AS BIGINT) AS unmatched_disease,
+    round(c / a, 6) AS patient_coverage, round(c / b, 6) AS disease_coverage, round(abs(c / a - c / b), 6) AS asymmetry
+    FROM pairs JOIN np USING (patient_id) JOIN nd USING (disease_id)""")
 def coverage_block(t):
     return sets.coverage(t.patient_term, t.profile_term)
 
@@ -75,7 +77,12 @@ def exclusion_conflicts(t):
     return sets.conflicts(t.patient_term, t.profile_term, t.patient_excluded, t.profile_negative)
 
 
-_IC = "ic AS (SELECT term, -ln(CAST(count(DISTINCT disease_id) AS DOUBLE) / (SELECT count(DISTINCT disease_id) FROM profile_term)) AS ic FROM profile_term GROUP BY 1)"
+_IC = "ic AS (SELECT term, -ln(CAST(count(DISTINCT disease_id) AS DOUBLE) / (SELECT count(*) FROM profile)) AS ic FROM profile_term GROUP BY 1)"
+
+
+def _ic(t):
+    return ontology.information_content(t.profile_term, t.profile)
+
 
 
 def _top_terms(join: str, n: int) -> str:
@@ -86,20 +93,29 @@ def _top_terms(join: str, n: int) -> str:
 
 @query(_top_terms("SELECT patient_id, disease_id, p.term FROM patient_term p JOIN profile_term d ON p.term = d.term", 15))
 def matched_terms_topn(t):
-    return sets.top_terms(t.patient_term.join(t.profile_term, "term"), ontology.information_content(t.profile_term), 15)
+    return sets.top_terms(t.patient_term.join(t.profile_term, "term"), _ic(t), 15)
+
+
+_RANKED_PAIRS = f"""{_PAIRS}, scored AS (SELECT patient_id, disease_id, {_SET_SQL['set_jaccard']} AS score FROM pairs), best AS ({_TOP})"""
 
 
-@query(_top_terms("""SELECT c.patient_id, c.disease_id, p.term FROM (SELECT patient_id, min(disease_id) AS disease_id FROM patient_term a JOIN profile_term b ON a.term = b.term GROUP BY 1) c
-    JOIN patient_term p ON p.patient_id = c.patient_id WHERE NOT EXISTS (SELECT 1 FROM profile_term d WHERE d.disease_id = c.disease_id AND d.term = p.term)""", 10))
+def _ranked_pairs(t):
+    """The profiles that Jaccard ranks for the patients that ask."""
+    return sets.rank(t.asked_term, t.profile_term, "set_jaccard").select("patient_id", "disease_id")
+
+
+@query(f"""WITH {_RANKED_PAIRS}, {_IC} SELECT patient_id, disease_id, CAST(rank AS INTEGER) AS rank, term, round(ic, 6) AS ic FROM (
+    SELECT c.patient_id, c.disease_id, p.term, coalesce(ic.ic, 0) AS ic, row_number() OVER (PARTITION BY c.patient_id, c.disease_id ORDER BY round(coalesce(ic.ic, 0), 9) DESC, p.term) AS rank
+    FROM best c JOIN asked_term p ON p.patient_id = c.patient_id LEFT JOIN ic ON ic.term = p.term
+    WHERE NOT EXISTS (SELECT 1 FROM profile_term d WHERE d.disease_id = c.disease_id AND d.term = p.term)) WHERE rank <= 10""")
 def unmatched_terms_topn(t):
-    pairs = t.patient_term.join(t.profile_term, "term").select("patient_id", "disease_id").distinct()
-    rest = pairs.join(t.patient_term, "patient_id").join(t.profile_term, ["disease_id", "term"], "left_anti")
-    return sets.top_terms(rest, ontology.information_content(t.profile_term), 10)
+    rest = _ranked_pairs(t).join(t.asked_term, "patient_id").join(t.profile_term, ["disease_id", "term"], "left_anti")
+    return sets.top_terms(rest, _ic(t), 10)
 
 
 @query(f"WITH {_IC} SELECT patient_id, disease_id, count(*) AS n_shared, round(sum(coalesce(ic, 0)), 5) AS ic_sum FROM patient_term p JOIN profile_term d ON p.term = d.term LEFT JOIN ic ON ic.term = p.term GROUP BY 1, 2")
 def ic_quality(t):
-    return sets.ic_quality(t.patient_term, t.profile_term, ontology.information_content(t.profile_term))
+    return sets.ic_quality(t.patient_term, t.profile_term, _ic(t))
 
 
 # --- ontology ---------------------------------------------------------------------------
@@ -129,12 +145,12 @@ def term_document_frequency(t):
 
 @query(f"WITH {_IC} SELECT term, round(ic, 6) AS ic FROM ic")
 def information_content(t):
-    return ontology.information_content(t.profile_term).select("term", F.round("ic", 6).alias("ic"))
+    return _ic(t).select("term", F.round("ic", 6).alias("ic"))
 
 
 @query(f"WITH {_IC} SELECT p.patient_id, p.term FROM patient_term p LEFT JOIN ic ON ic.term = p.term WHERE coalesce(ic, 0) >= 1.7")
 def ic_filter(t):
-    return ontology.ic_filter(t.patient_term, ontology.information_content(t.profile_term), 1.7)
+    return ontology.ic_filter(t.patient_term, _ic(t), 1.7)
 
 
 _CHAIN = f"""{_CLOSURE}, size AS (SELECT term, count(*) AS n FROM closure GROUP BY 1),
@@ -153,42 +169,71 @@ def category_path(t):
 
 
 # --- semantic scores --------------------------------------------------------------------
-_SMALL = "WHERE patient_id < 8"
-_MICA = f"""{_INCLUSIVE}, {_IC}, pt AS (SELECT * FROM patient_term {_SMALL}),
-    best AS (SELECT a, b, ancestor AS mica, ic AS ic_mica FROM (
-      SELECT x.term AS a, y.term AS b, x.ancestor, ic.ic, row_number() OVER (PARTITION BY x.term, y.term ORDER BY round(ic.ic, 9) DESC, x.ancestor DESC) AS r
-      FROM inclusive x JOIN ic ON ic.term = x.ancestor JOIN inclusive y ON y.ancestor = x.ancestor
-      WHERE x.term IN (SELECT term FROM pt) AND y.term IN (SELECT term FROM profile_term)) WHERE r = 1)"""
-
+LEAST_IC = 1.7
+_MICA = f"""{_INCLUSIVE}, {_IC}, pairs AS (SELECT DISTINCT x.term AS a, y.term AS b FROM patient_term x JOIN patient_term y ON x.patient_id = y.patient_id AND x.term < y.term)"""
 
-def _micas(t):
-    ic = ontology.information_content(t.profile_term)
-    patients = t.patient_term
-    return patients, ic, semantic.mica(patients, t.profile_term, ontology.closure(t.edge, inclusive=True), ic)
 
-
-@query(f"WITH RECURSIVE {_MICA} SELECT a, b, mica, round(ic_mica, 6) AS ic_mica FROM best")
+@query(f"""WITH RECURSIVE {_MICA} SELECT a, b, mica, round(ic, 6) AS ic_mica FROM (
+    SELECT a, b, x.ancestor AS mica, coalesce(ic.ic, 0) AS ic, row_number() OVER (PARTITION BY a, b ORDER BY round(coalesce(ic.ic, 0), 9) DESC, x.ancestor DESC) AS r
+    FROM pairs JOIN inclusive x ON x.term = a JOIN inclusive y ON y.term = b AND y.ancestor = x.ancestor LEFT JOIN ic ON ic.term = x.ancestor) WHERE r = 1""")
 def mica_pairs(t):
-    return _micas(t)[2].select("a", "b", "mica", F.round("ic_mica", 6).alias("ic_mica"))
+    other = t.patient_term.select("patient_id", F.col("term").alias("b"))
+    pairs = t.patient_term.withColumnRenamed("term", "a").join(other, "patient_id").where("a < b").select("a", "b").distinct()
+    return semantic.mica(pairs, ontology.closure(t.edge, inclusive=True), _ic(t)).select("a", "b", "mica", F.round("ic_mica", 6).alias("ic_mica"))
 
 
 _SIM = {
-    "resnik": "ic_mica", "lin": "CASE WHEN ia + ib > 0 THEN 2 * ic_mica / (ia + ib) ELSE 0 END",
-    "jiang_conrath": "1 / (1 + greatest(0, ia + ib - 2 * ic_mica))",
+    "resnik": "x_ic", "lin": "CASE WHEN ia + ib > 0 THEN 2 * x_ic / (ia + ib) ELSE 0 END",
+    "jiang_conrath": "1 / (1 + greatest(0, ia + ib - 2 * x_ic))",
 }
-for _m, _e in _SIM.items():
-    def _bma(t, m=_m):
-        patients, ic, micas = _micas(t)
-        scored = semantic.best_match_average(patients, t.profile_term, semantic.pair_scores(micas, ic, m))
-        return top_k(scored, ["patient_id"], 10).select("patient_id", "rank", "disease_id", F.round("score", 5).alias("score"))
 
-    query(f"""WITH RECURSIVE {_MICA}, sim AS (SELECT a, b, {_e} AS sim FROM (SELECT best.*, coalesce(x.ic, 0) AS ia, coalesce(y.ic, 0) AS ib FROM best LEFT JOIN ic x ON x.term = a LEFT JOIN ic y ON y.term = b)),
-        j AS (SELECT p.patient_id, d.disease_id, a, b, sim FROM pt p JOIN sim ON a = p.term JOIN profile_term d ON b = d.term),
+
+def _bma_sql(measure: str) -> str:
+    """Similarity through every common ancestor; the best one is that of the most informative."""
+    return f"""WITH RECURSIVE {_INCLUSIVE}, {_IC}, pt AS (SELECT q.* FROM asked_term q JOIN ic USING (term) WHERE ic >= {LEAST_IC}), dt AS (SELECT q.* FROM profile_term q JOIN ic USING (term) WHERE ic >= {LEAST_IC}),
+        up AS (SELECT i.term, i.ancestor, s.ic AS t_ic, coalesce(x.ic, 0) AS x_ic FROM inclusive i JOIN ic s ON s.term = i.term LEFT JOIN ic x ON x.term = i.ancestor),
+        sim AS (SELECT a, b, max({_SIM[measure]}) AS sim FROM (SELECT p.term AS a, d.term AS b, p.t_ic AS ia, d.t_ic AS ib, p.x_ic FROM up p JOIN up d ON p.ancestor = d.ancestor
+          WHERE p.term IN (SELECT term FROM pt) AND d.term IN (SELECT term FROM dt)) GROUP BY 1, 2),
+        j AS (SELECT p.patient_id, d.disease_id, a, b, sim FROM pt p JOIN sim ON a = p.term JOIN dt d ON b = d.term),
         f AS (SELECT patient_id, disease_id, sum(s) AS s FROM (SELECT patient_id, disease_id, a, max(sim) AS s FROM j GROUP BY 1, 2, 3) GROUP BY 1, 2),
         g AS (SELECT patient_id, disease_id, sum(s) AS s FROM (SELECT patient_id, disease_id, b, max(sim) AS s FROM j GROUP BY 1, 2, 3) GROUP BY 1, 2),
-        scored AS (SELECT f.patient_id, f.disease_id, (f.s / np + g.s / nd) / 2 AS score FROM f JOIN g ON f.patient_id = g.patient_id AND f.disease_id = g.disease_id
-          JOIN (SELECT patient_id, count(*) AS np FROM pt GROUP BY 1) u ON u.patient_id = f.patient_id JOIN (SELECT disease_id, count(*) AS nd FROM profile_term GROUP BY 1) v ON v.disease_id = f.disease_id)
-        {_TOP.replace("round(score, 6)", "round(score, 5)")}""", f"{_m}_bma_topk")(_bma)
+        scored AS (SELECT u.patient_id, v.disease_id, (coalesce(f.s, 0) / np + coalesce(g.s, 0) / nd) / 2 AS score
+          FROM (SELECT patient_id, count(*) AS np FROM pt GROUP BY 1) u CROSS JOIN (SELECT disease_id, count(*) AS nd FROM dt GROUP BY 1) v
+          LEFT JOIN f ON f.patient_id = u.patient_id AND f.disease_id = v.disease_id LEFT JOIN g ON g.patient_id = u.patient_id AND g.disease_id = v.disease_id)
+        {_TOP.replace("round(score, 6)", "round(score, 5)")}"""
+
+
+for _m in _SIM:
+    def _bma(t, m=_m):
+        return semantic.rank(t.asked_term, t.profile_term, ontology.closure(t.edge, inclusive=True), _ic(t), m, LEAST_IC)
+
+    # of all patients and profiles the SQL makes each pair of terms: too slow on whole tables, tests compare on sf0.001
+    query(_bma_sql(_m), f"{_m}_bma_topk")(_bma)
+
+_MATCHES = f"""{_RANKED_PAIRS}, {_INCLUSIVE}, {_IC},
+    up AS (SELECT i.term, i.ancestor, coalesce(s.ic, 0) AS t_ic, coalesce(x.ic, 0) AS x_ic FROM inclusive i LEFT JOIN ic s ON s.term = i.term LEFT JOIN ic x ON x.term = i.ancestor),
+    through AS (SELECT c.patient_id, c.disease_id, p.term AS a, d.term AS b, x.ancestor, x.x_ic, x.t_ic AS ia, y.t_ic AS ib
+      FROM best c JOIN asked_term p ON p.patient_id = c.patient_id JOIN up x ON x.term = p.term JOIN profile_term d ON d.disease_id = c.disease_id JOIN up y ON y.term = d.term AND y.ancestor = x.ancestor),
+    matched AS (SELECT * FROM (SELECT patient_id, disease_id, a, b, ancestor AS mica, sim, row_number() OVER (PARTITION BY patient_id, disease_id, a ORDER BY round(sim, 9) DESC, b, round(x_ic, 9) DESC, ancestor DESC) AS r
+      FROM (SELECT *, {_SIM['lin']} AS sim FROM through)) WHERE r = 1)"""
+
+
+def _matches(t):
+    return semantic.best_matches(_ranked_pairs(t), t.asked_term, t.profile_term, ontology.closure(t.edge, inclusive=True), _ic(t), "lin")
+
+
+@query(f"""WITH RECURSIVE {_MATCHES} SELECT c.patient_id, c.disease_id, p.term, b AS best_term, mica, round(coalesce(sim, 0), 4) AS best_score, round(coalesce(ic.ic, 0), 4) AS ic
+    FROM best c JOIN asked_term p ON p.patient_id = c.patient_id LEFT JOIN matched m ON m.patient_id = c.patient_id AND m.disease_id = c.disease_id AND m.a = p.term LEFT JOIN ic ON ic.term = p.term
+    WHERE round(coalesce(sim, 0), 9) < 0.95""")
+def weak_matches(t):
+    return semantic.weak_matches(_matches(t), _ic(t), 0.95)  # information content varies little in these tables
+
+
+@query(f"""WITH RECURSIVE {_MATCHES} SELECT patient_id, disease_id, CAST(rank AS INTEGER) AS rank, mica, n_patient_terms, n_disease_terms, round(score, 4) AS avg_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY patient_id, disease_id ORDER BY round(score, 9) DESC, mica) AS rank FROM (
+      SELECT patient_id, disease_id, mica, count(*) AS n_patient_terms, count(DISTINCT b) AS n_disease_terms, avg(sim) AS score FROM matched GROUP BY 1, 2, 3 HAVING count(*) >= 2)) WHERE rank <= 5""")
+def semantic_clusters(t):
+    return semantic.clusters(_matches(t))
 
 
 # --- text -------------------------------------------------------------------------------
@@ -198,14 +243,15 @@ def _tokens_sql(key: str, table: str, out: str) -> str:
 
 
 _TEXT = f"""{_tokens_sql('disease_id', 'doc', 'dt')}, {_tokens_sql('patient_id', 'query_text', 'qt')},
+    asking AS (SELECT * FROM qt WHERE patient_id % 20 = 0),
     idf AS (SELECT token, ln(CAST((SELECT count(DISTINCT disease_id) FROM doc) AS DOUBLE) / count(DISTINCT disease_id)) AS idf FROM dt GROUP BY 1),
-    dw AS (SELECT disease_id, token, tf * idf AS w FROM dt JOIN idf USING (token)), qw AS (SELECT patient_id, token, tf * idf AS w FROM qt JOIN idf USING (token))"""
+    dw AS (SELECT disease_id, token, tf * idf AS w FROM dt JOIN idf USING (token)), qw AS (SELECT patient_id, token, tf * idf AS w FROM asking JOIN idf USING (token))"""
 
 
 def _text(t):
     counts = tfidf.token_counts(t.doc, "disease_id")
     weights = tfidf.idf(counts, t.doc, "disease_id")
-    return counts, weights, tfidf.weigh(counts, weights), tfidf.weigh(tfidf.token_counts(t.query_text, "patient_id"), weights)
+    return counts, weights, tfidf.weigh(counts, weights), tfidf.weigh(tfidf.token_counts(t.asked_text, "patient_id"), weights)
 
 
 @query(f"WITH {_TEXT} SELECT disease_id, token, tf FROM dt")
@@ -238,14 +284,14 @@ def low_idf_matches(t):
 
 
 @query("""WITH idf AS (SELECT term, ln(CAST((SELECT count(DISTINCT disease_id) FROM profile_term) AS DOUBLE) / count(DISTINCT disease_id)) AS idf FROM profile_term GROUP BY 1),
-    dn AS (SELECT disease_id, sqrt(sum(idf * idf)) AS n FROM profile_term JOIN idf USING (term) GROUP BY 1), qn AS (SELECT patient_id, sqrt(sum(idf * idf)) AS n FROM patient_term JOIN idf USING (term) GROUP BY 1),
-    scored AS (SELECT patient_id, disease_id, dot / (qn.n * dn.n) AS score FROM (SELECT patient_id, disease_id, sum(idf * idf) AS dot FROM patient_term JOIN profile_term USING (term) JOIN idf USING (term) GROUP BY 1, 2)
+    dn AS (SELECT disease_id, sqrt(sum(idf * idf)) AS n FROM profile_term JOIN idf USING (term) GROUP BY 1), qn AS (SELECT patient_id, sqrt(sum(idf * idf)) AS n FROM asked_term JOIN idf USING (term) GROUP BY 1),
+    scored AS (SELECT patient_id, disease_id, dot / (qn.n * dn.n) AS score FROM (SELECT patient_id, disease_id, sum(idf * idf) AS dot FROM asked_term JOIN profile_term USING (term) JOIN idf USING (term) GROUP BY 1, 2)
       JOIN dn USING (disease_id) JOIN qn USING (patient_id) WHERE dn.n > 0 AND qn.n > 0) """ + _TOP)
 def tfidf_hpo_topk(t):
     binary = lambda df, key: df.select(key, F.col("term").alias("token"), F.lit(1).alias("tf"))
     profile = binary(t.profile_term, "disease_id")
     weights = tfidf.idf(profile, profile, "disease_id")
-    scored = tfidf.cosine(tfidf.weigh(binary(t.patient_term, "patient_id"), weights), tfidf.weigh(profile, weights))
+    scored = tfidf.cosine(tfidf.weigh(binary(t.asked_term, "patient_id"), weights), tfidf.weigh(profile, weights))
     return top_k(scored, ["patient_id"], 10).select("patient_id", "rank", "disease_id", F.round("score", 6).alias("score"))
 
 
@@ -278,7 +324,7 @@ def alias_expansion(t):
     return profiles.expand_aliases(profiles.canonical_profiles(t.profile_term, t.alias), t.alias)
 
 
-@query("SELECT l_partkey AS id, arg_max(l_suppkey, (l_linenumber, l_orderkey)) AS target FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey AS id, arg_max(l_suppkey, (l_linenumber, l_orderkey, l_suppkey)) AS target FROM lineitem GROUP BY 1")
 def mapping_index(t):
     return profiles.mapping_index(t.lineitem.select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("target"), F.col("l_linenumber").alias("source_ord"), F.col("l_orderkey").alias("row_ord")))
 
@@ -298,9 +344,9 @@ def normalize_frequency(t):
     return t.part.select("p_partkey", identifiers.normalize_frequency(raw).alias("frequency"))
 
 
-@query("SELECT count(*) AS n_before, count(*) FILTER (trim(coalesce(text, '')) <> '') AS n_after FROM documents")
+@query("SELECT count(*) AS n_before, count(*) FILTER (regexp_matches(coalesce(text, ''), '\\S')) AS n_after FROM documents")
 def valid_profiles(t):
-    return t.documents.agg(F.count("*").alias("n_before"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "").alias("n_after"))
+    return t.documents.agg(F.count("*").alias("n_before"), F.count_if(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\S"))).alias("n_after"))
 
 
 # --- fusion -----------------------------------------------------------------------------
@@ -412,10 +458,10 @@ _DENSE = {
 for _m, _e in _DENSE.items():
     def _dense(t, m=_m):
         items = t.embeddings.select(F.col("vec_id").alias("disease_id"), F.col("embedding").alias("vector"))
-        return dense.rank(items.withColumnRenamed("disease_id", "patient_id"), items, m)
+        return dense.rank(items.withColumnRenamed("disease_id", "patient_id").where("patient_id % 20 = 0"), items, m)
 
     query(f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-        s AS (SELECT q.vec_id AS patient_id, d.vec_id AS disease_id, round({_e}, 5) AS score FROM v q CROSS JOIN v d WHERE q.vec_id < 20)
+        s AS (SELECT q.vec_id AS patient_id, d.vec_id AS disease_id, round({_e}, 5) AS score FROM v q CROSS JOIN v d WHERE q.vec_id % 20 = 0)
         SELECT patient_id, CAST(r AS INTEGER) AS rank, disease_id, score FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY score DESC, disease_id) AS r FROM s) WHERE r <= 10""", f"dense_{_m}_topk")(_dense)
 
 
@@ -435,10 +481,11 @@ def normalize_texts(t):
 
 @query("""SELECT doc_id, p AS start, list_bool_or(list_transform(['no', 'not', 'without', 'denies', 'denied', 'negative for', 'absence of'],
       lambda w: contains(substring(text, CAST(greatest(p - 50, 0) + 1 AS BIGINT), CAST(p - greatest(p - 50, 0) AS BIGINT)), w))) AS negated
-    FROM (SELECT doc_id, text, CAST(instr(text, 'tion') - 1 AS INTEGER) AS p FROM documents) WHERE p >= 0""")
+    FROM (SELECT doc_id, text, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) + 4 * (i - 1) AS INTEGER) AS p, i, n FROM (
+      SELECT doc_id, text, unnest(string_split(text, 'tion')) AS part, generate_subscripts(string_split(text, 'tion'), 1) AS i, len(string_split(text, 'tion')) AS n FROM documents)) WHERE i < n""")
 def negation_window(t):
-    d = t.documents.select("doc_id", "text", (F.instr("text", "tion") - 1).alias("start")).where("start >= 0")
-    return d.select("doc_id", "start", is_negated(F.col("text"), F.col("start")).alias("negated"))
+    found = F.transform(starts_of(F.col("text"), "tion"), lambda s: F.struct(s.alias("start"), is_negated(F.col("text"), s).alias("negated")))
+    return t.documents.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.start", "x.negated")
 
 
 @query("SELECT p_partkey AS term, p_name AS label FROM part WHERE contains(lower(p_name), 'an') ORDER BY p_partkey LIMIT 20")
@@ -446,10 +493,10 @@ def label_search(t):
     return t.term_label.where(F.lower("label").contains("an")).orderBy("term").limit(20)
 
 
-@query("""SELECT event_type, user_id, arg_max(event_id, (value, -event_id)) AS event_id, max(value) AS confidence FROM events WHERE user_id % 10 <> 3 GROUP BY 1, 2""")
+@query("""SELECT event_type, user_id, arg_max(event_id, (value, -event_id)) AS event_id, max(value) AS confidence FROM events WHERE user_id NOT IN (SELECT user_id FROM blocked) GROUP BY 1, 2""")
 def dedup_extractions(t):
     best = F.max(F.struct("value", (-F.col("event_id")).alias("e")))
-    kept = t.events.where("user_id % 10 <> 3").groupBy("event_type", "user_id").agg(best.alias("b"))
+    kept = t.events.join(t.blocked, "user_id", "left_anti").groupBy("event_type", "user_id").agg(best.alias("b"))
     return kept.select("event_type", "user_id", (-F.col("b.e")).alias("event_id"), F.col("b.value").alias("confidence"))
 
 

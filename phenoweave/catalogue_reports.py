@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalogue import _BEST, _INCLUSIVE, _RANKS, _TEXT, _TOP, _WEIGHTS, ORACLES, QUERIES, _best, _text, _tokens_sql, query
-from .operators import dense, evaluation, fusion, ontology, reports, tfidf
+from .catalogue import _BEST, _IC, _INCLUSIVE, _RANKED_PAIRS, _RANKS, _TEXT, _TOP, _WEIGHTS, LEAST_IC, ORACLES, QUERIES, _best, _ic, _ranked_pairs, _text, _tokens_sql, query
+from .operators import dense, evaluation, fusion, ontology, reports, sets, tfidf
 from .plans.ranking import ranked, top_k
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,9 +23,12 @@ def common_ancestors(t):
 
 # --- text -------------------------------------------------------------------------------
 _LABELS = "(SELECT {0}, label AS text FROM {1} JOIN term_label ON {1}.term = term_label.term)"
-_LABEL_TEXT = f"""{_tokens_sql('disease_id', _LABELS.format('disease_id', 'profile_term'), 'dt')}, {_tokens_sql('patient_id', _LABELS.format('patient_id', 'patient_term'), 'qt')},
-    idf AS (SELECT token, ln(CAST((SELECT count(DISTINCT disease_id) FROM profile_term) AS DOUBLE) / count(DISTINCT disease_id)) AS idf FROM dt GROUP BY 1),
-    dw AS (SELECT disease_id, token, tf * idf AS w FROM dt JOIN idf USING (token)), qw AS (SELECT patient_id, token, tf * idf AS w FROM qt JOIN idf USING (token))"""
+_PROFILE_IDF = f"""{_tokens_sql('disease_id', 'profile_text', 'dt')}, idf AS (SELECT token, ln(CAST((SELECT count(*) FROM profile) AS DOUBLE) / count(DISTINCT disease_id)) AS idf FROM dt GROUP BY 1),
+    {_IC}, used AS (SELECT a.* FROM asked_term a JOIN ic USING (term) WHERE ic >= {LEAST_IC}), {_tokens_sql('patient_id', _LABELS.format('patient_id', 'used'), 'qt')},
+    qw AS (SELECT patient_id, token, tf * idf AS w FROM qt JOIN idf USING (token))"""
+_COSINE = f"""dn AS (SELECT disease_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY 1), qn AS (SELECT patient_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1),
+    scored AS (SELECT patient_id, disease_id, dot / (qn.n * dn.n) AS score FROM (SELECT patient_id, disease_id, sum(q.w * d.w) AS dot FROM qw q JOIN dw d USING (token) GROUP BY 1, 2)
+      JOIN dn USING (disease_id) JOIN qn USING (patient_id) WHERE dn.n > 0 AND qn.n > 0) {_TOP.replace("round(score, 6)", "round(score, 5)")}"""
 
 
 def _label_counts(t, terms, key: str):
@@ -33,21 +36,32 @@ def _label_counts(t, terms, key: str):
     return tfidf.token_counts(terms.join(t.term_label, "term").select(key, "label"), key, "label")
 
 
-@query(f"WITH {_LABEL_TEXT} SELECT patient_id, token, tf FROM qt")
+def _asked_labels(t):
+    """Weights of the profile texts' tokens, of profile texts, and of the label tokens of the patients' informative terms."""
+    counts = tfidf.token_counts(t.profile_text, "disease_id")
+    weights = tfidf.idf(counts, t.profile, "disease_id")
+    used = ontology.ic_filter(t.asked_term, _ic(t), LEAST_IC)
+    return weights, tfidf.weigh(counts, weights), tfidf.weigh(_label_counts(t, used, "patient_id"), weights)
+
+
+@query(f"WITH {_tokens_sql('patient_id', _LABELS.format('patient_id', 'patient_term'), 'qt')} SELECT patient_id, token, tf FROM qt")
 def label_tokens(t):
     return _label_counts(t, t.patient_term, "patient_id")
 
 
-@query(f"""WITH {_LABEL_TEXT}, dn AS (SELECT disease_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY 1), qn AS (SELECT patient_id, sqrt(sum(w * w)) AS n FROM qw GROUP BY 1),
-    scored AS (SELECT patient_id, disease_id, dot / (qn.n * dn.n) AS score FROM (SELECT patient_id, disease_id, sum(q.w * d.w) AS dot FROM qw q JOIN dw d USING (token) GROUP BY 1, 2)
-      JOIN dn USING (disease_id) JOIN qn USING (patient_id) WHERE dn.n > 0 AND qn.n > 0) {_TOP.replace("round(score, 6)", "round(score, 5)")}""")
+@query(f"WITH {_PROFILE_IDF}, {_tokens_sql('disease_id', _LABELS.format('disease_id', 'profile_term'), 'lt')}, dw AS (SELECT disease_id, token, tf * idf AS w FROM lt JOIN idf USING (token)), {_COSINE}")
 def tfidf_label_topk(t):
-    counts = _label_counts(t, t.profile_term, "disease_id")
-    weights = tfidf.idf(counts, t.profile_term, "disease_id")
-    scored = tfidf.cosine(tfidf.weigh(_label_counts(t, t.patient_term, "patient_id"), weights), tfidf.weigh(counts, weights))
+    weights, _, asked = _asked_labels(t)
+    scored = tfidf.cosine(asked, tfidf.weigh(_label_counts(t, t.profile_term, "disease_id"), weights))
     return top_k(scored, ["patient_id"], 10).select("patient_id", "rank", "disease_id", F.round("score", 5).alias("score"))
 
 
+@query(f"WITH {_PROFILE_IDF}, dw AS (SELECT disease_id, token, tf * idf AS w FROM dt JOIN idf USING (token)), {_COSINE}")
+def tfidf_hybrid_topk(t):
+    _, texts, asked = _asked_labels(t)
+    return top_k(tfidf.cosine(asked, texts), ["patient_id"], 10).select("patient_id", "rank", "disease_id", F.round("score", 5).alias("score"))
+
+
 @query(f"""WITH {_TEXT}, n AS (SELECT patient_id, count(*) AS n FROM qt GROUP BY 1)
     SELECT q.patient_id, d.disease_id, count(*) AS n_shared, round(count(*) / CAST(max(n) AS DOUBLE), 6) AS coverage FROM qt q JOIN dt d USING (token) JOIN n ON n.patient_id = q.patient_id GROUP BY 1, 2""")
 def token_coverage(t):
@@ -60,13 +74,25 @@ def token_coverage(t):
 @query(f"""WITH {_TEXT} SELECT patient_id, disease_id, CAST(rank AS INTEGER) AS rank, token, round(part, 3) AS part FROM (
       SELECT *, row_number() OVER (PARTITION BY patient_id, disease_id ORDER BY round(part, 6) DESC, token) AS rank
       FROM (SELECT q.patient_id, d.disease_id, q.token, q.w * d.w AS part FROM qw q JOIN dw d USING (token))) WHERE rank <= 5""")
-def contributing_terms(t):
+def contributing_tokens(t):
     _, _, docs, queries = _text(t)
     parts = queries.select("patient_id", "token", F.col("w").alias("q")).join(docs.select("disease_id", "token", F.col("w").alias("d")), "token").withColumn("part", F.col("q") * F.col("d"))
     best = ranked(parts, ["patient_id", "disease_id"], [F.round("part", 6).desc(), F.col("token")]).where("rank <= 5")
     return best.select("patient_id", "disease_id", "rank", "token", F.round("part", 3).alias("part"))
 
 
+@query(f"""WITH {_RANKED_PAIRS}, {_IC}, {_tokens_sql('disease_id', 'profile_text', 'dt')}, {_tokens_sql('term', 'term_text', 'lt')}
+    SELECT patient_id, disease_id, CAST(rank AS INTEGER) AS rank, term, round(ic, 4) AS ic FROM (
+      SELECT h.*, coalesce(ic.ic, 0) AS ic, row_number() OVER (PARTITION BY patient_id, disease_id ORDER BY round(coalesce(ic.ic, 0), 9) DESC, h.term) AS rank
+      FROM (SELECT DISTINCT b.patient_id, b.disease_id, p.term FROM best b JOIN asked_term p ON p.patient_id = b.patient_id JOIN lt ON lt.term = p.term JOIN dt ON dt.disease_id = b.disease_id AND dt.token = lt.token) h
+      LEFT JOIN ic ON ic.term = h.term) WHERE rank <= 10""")
+def contributing_terms(t):
+    labels = tfidf.token_counts(t.term_label, "term", "label").select("term", "token")
+    texts = tfidf.token_counts(t.profile_text, "disease_id").select("disease_id", "token")
+    hit = _ranked_pairs(t).join(t.asked_term, "patient_id").join(labels, "term").join(texts, ["disease_id", "token"], "left_semi")
+    return sets.top_terms(hit.select("patient_id", "disease_id", "term").distinct(), _ic(t), 10).withColumn("ic", F.round("ic", 4))
+
+
 @query("SELECT conv_id, turn, sha256(coalesce(text, '')) AS hash FROM conversations")
 def text_hash(t):
     return t.conversations.select("conv_id", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))

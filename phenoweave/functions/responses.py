@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .identifiers import stripped
+
 # fixed values: scores of the confidence words, and of any other word
 CONFIDENCE = {"strong": 0.9, "possible": 0.6, "weak": 0.3, "unlikely": 0.1}
 OTHER_CONFIDENCE = 0.5
@@ -14,7 +16,7 @@ SYMMETRIC_WITHIN = 0.15
 
 def confidence_score(word: Column) -> Column:
     table = F.create_map(*[F.lit(v) for kv in CONFIDENCE.items() for v in kv])
-    return F.coalesce(table[F.lower(F.trim(word))], F.lit(OTHER_CONFIDENCE))
+    return F.coalesce(table[F.lower(stripped(word))], F.lit(OTHER_CONFIDENCE))
 
 
 def phenotypes_in(answer: Column) -> Column:

@@ -42,5 +42,25 @@ def is_negated(text: Column, start: Column) -> Column:
     return out
 
 
+def starts_of(text: Column, word: str) -> Column:
+    """Where a word that can't overlap itself occurs, from 0, in order, as an array."""
+    parts = F.split(text, rf"\Q{word}\E")
+    state = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("end"))
+    step = lambda s, part: F.struct(F.array_append(s["at"], s["end"] + F.char_length(part)).alias("at"), (s["end"] + F.char_length(part) + len(word)).alias("end"))
+    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), state, step, lambda s: s["at"])
+
+
 def first_text(description: Column, label: Column) -> Column:
-    return F.coalesce(F.nullif(F.trim(description), F.lit("")), label)
+    """The description, or the label where that is blank."""
+    return F.coalesce(F.nullif(F.regexp_replace(description, r"^\s+|\s+$", ""), F.lit("")), label)
+
+
+def used_fallback(description: Column) -> Column:
+    return ~F.coalesce(description.rlike(r"\S"), F.lit(False))
+
+
+def embedding_text(labels: Column, description: Column, most: int = 400) -> Column:
+    """Labels joined by ``; `` and the start of the description, for dense encoders; blank parts are left out."""
+    phenotypes = F.when(F.size(labels) > 0, F.array_join(labels, "; "))
+    rest = F.nullif(F.substring(F.regexp_replace(description, r"^\s+|\s+$", ""), 1, most), F.lit(""))
+    return F.concat_ws(". ", phenotypes, rest)

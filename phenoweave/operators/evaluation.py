@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CUTS = (1, 3, 5, 10, 20)
@@ -23,13 +23,24 @@ def truth_ranks(ranks: DataFrame, truth: DataFrame, alias: DataFrame | None = No
 def metrics(best: DataFrame) -> DataFrame:
     """Recall at cuts, mean reciprocal rank, found share and upper median, by method."""
     r = F.col("best_rank")
-    median = F.element_at(F.array_sort(F.collect_list(r)), (F.floor(F.count(r) / 2) + 1).cast("int"))
-    return best.groupBy("method").agg(
+    basic = best.groupBy("method").agg(
         F.count("*").alias("n_cases"), F.count(r).alias("n_found"),
         *[F.round(F.avg(F.when(r <= k, 1.0).otherwise(0.0)), 4).alias(f"recall_{k}") for k in CUTS],
         F.round(F.sum(F.coalesce(1.0 / r, F.lit(0.0))) / F.count("*"), 4).alias("mrr"),
-        F.when(F.count(r) > 0, median).alias("median_rank"),
     )
+    return basic.join(upper_median(best), "method", "left")
+
+
+def upper_median(best: DataFrame) -> DataFrame:
+    """``method, median_rank`` of the found ranks: the least rank that more than half of the others don't exceed.
+
+    Ranks are counted first, so a method is a row for each rank and not for each case.
+    """
+    counts = best.where("best_rank is not null").groupBy("method", "best_rank").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("method").orderBy("best_rank"))
+    total = F.sum("n").over(Window.partitionBy("method"))
+    past = counts.select("method", "best_rank", (upto > F.floor(total / 2)).alias("past")).where("past")
+    return past.groupBy("method").agg(F.min("best_rank").alias("median_rank"))
 
 
 def ndcg(ranks: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:

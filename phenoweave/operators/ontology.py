@@ -38,10 +38,10 @@ def document_frequency(profile: DataFrame) -> DataFrame:
     return profile.groupBy("term").agg(F.count_distinct("disease_id").alias("df"))
 
 
-def information_content(profile: DataFrame) -> DataFrame:
-    """``-ln(df / N)``; N counts all profiles."""
-    n = profile.agg(F.count_distinct("disease_id").alias("n"))  # one row
-    return document_frequency(profile).join(F.broadcast(n)).select("term", (-F.log(F.col("df") / F.col("n"))).alias("ic"))
+def information_content(terms: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``-ln(df / N)``; N counts all ``profiles (disease_id)``, those without terms as well."""
+    n = profiles.agg(F.count("*").alias("n"))  # one row
+    return document_frequency(terms).join(F.broadcast(n)).select("term", (-F.log(F.col("df") / F.col("n"))).alias("ic"))
 
 
 def ic_filter(terms: DataFrame, ic: DataFrame, least: float | None = 1.5) -> DataFrame:

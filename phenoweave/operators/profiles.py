@@ -43,5 +43,5 @@ def expand_aliases(canonical: DataFrame, alias: DataFrame) -> DataFrame:
 
 
 def mapping_index(pairs: DataFrame) -> DataFrame:
-    """``id, target``: the last written target of each id by (source_ord, row_ord)."""
-    return pairs.groupBy("id").agg(F.max_by("target", F.struct("source_ord", "row_ord")).alias("target"))
+    """``id, target``: the last written target of each id by (source_ord, row_ord), the greatest of equals."""
+    return pairs.groupBy("id").agg(F.max(F.struct("source_ord", "row_ord", "target")).alias("x")).select("id", "x.target")

@@ -2,45 +2,192 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.blocks import best_in_blocks
+from ..plans.ranking import DIGITS, ranked, top_k
+from .ontology import ic_filter
+
+#: Similarity of ``a`` and ``b`` through a common ancestor ``x``.
 MEASURES = {
-    "resnik": "ic_mica",
-    "lin": "CASE WHEN ic_a + ic_b > 0 THEN 2 * ic_mica / (ic_a + ic_b) ELSE 0D END",
-    "jiang_conrath": "1 / (1 + greatest(0D, ic_a + ic_b - 2 * ic_mica))",
+    "resnik": "ic_x",
+    "lin": "CASE WHEN ic_a + ic_b > 0 THEN 2 * ic_x / (ic_a + ic_b) ELSE 0D END",
+    "jiang_conrath": "1 / (1 + greatest(0D, ic_a + ic_b - 2 * ic_x))",
 }
+PATIENT_BLOCK, PROFILE_BLOCK = 512, 1024  # rows of a block of either side
+MOST_PATHS = 5_000_000  # pairs of term and ancestor that may be broadcast
 
 
-def mica(left: DataFrame, right: DataFrame, ancestors: DataFrame, ic: DataFrame) -> DataFrame:
-    """``a, b, mica, ic_mica`` of distinct term pairs with a common ancestor (or equal).
+def mica(pairs: DataFrame, ancestors: DataFrame, ic: DataFrame) -> DataFrame:
+    """``a, b, mica, ic_mica`` of term pairs ``a, b`` with a common ancestor (or equal).
 
-    ``ancestors`` includes each term itself.  Ties take the greater id.
+    ``ancestors`` includes each term itself; a missing information content is 0.
+    Ties take the greater id.  The join is on the pair, so the root is no hot key.
     """
-    a = left.select(F.col("term").alias("a")).distinct().join(ancestors.withColumnRenamed("term", "a"), "a")
-    b = right.select(F.col("term").alias("b")).distinct().join(ancestors.withColumnRenamed("term", "b"), "b")
-    weight = ic.select(F.col("term").alias("ancestor"), "ic")
-    pairs = a.join(weight, "ancestor").join(b, "ancestor")
-    best = pairs.groupBy("a", "b").agg(F.max(F.struct(F.round("ic", 9).alias("r"), "ancestor", "ic")).alias("x"))
+    up = pairs.join(ancestors.withColumnRenamed("term", "a"), "a")
+    both = up.join(ancestors.withColumnRenamed("term", "b"), ["b", "ancestor"])
+    weighed = both.join(ic.select(F.col("term").alias("ancestor"), "ic"), "ancestor", "left").withColumn("ic", F.coalesce("ic", F.lit(0.0)))
+    best = weighed.groupBy("a", "b").agg(F.max(F.struct(F.round("ic", DIGITS).alias("r"), "ancestor", "ic")).alias("x"))
     return best.select("a", "b", F.col("x.ancestor").alias("mica"), F.col("x.ic").alias("ic_mica"))
 
 
-def pair_scores(micas: DataFrame, ic: DataFrame, measure: str) -> DataFrame:
-    one = ic.select(F.col("term").alias("a"), F.col("ic").alias("ic_a"))
-    two = ic.select(F.col("term").alias("b"), F.col("ic").alias("ic_b"))
-    zero = {"ic_a": F.coalesce("ic_a", F.lit(0.0)), "ic_b": F.coalesce("ic_b", F.lit(0.0))}
-    return micas.join(one, "a", "left").join(two, "b", "left").withColumns(zero).select("a", "b", "mica", F.expr(MEASURES[measure]).alias("sim"))
-
-
-def best_match_average(patient: DataFrame, profile: DataFrame, scores: DataFrame) -> DataFrame:
-    """Mean of the two directed averages of best scores; terms without a match count 0."""
-    joined = (
-        patient.withColumnRenamed("term", "a").join(scores, "a")
-        .join(profile.withColumnRenamed("term", "b"), "b")
-    )
-    forth = joined.groupBy("patient_id", "disease_id", "a").agg(F.max("sim").alias("s")).groupBy("patient_id", "disease_id").agg(F.sum("s").alias("forth"))
-    back = joined.groupBy("patient_id", "disease_id", "b").agg(F.max("sim").alias("s")).groupBy("patient_id", "disease_id").agg(F.sum("s").alias("back"))
-    n_p = patient.groupBy("patient_id").agg(F.count("*").alias("np"))
-    n_d = profile.groupBy("disease_id").agg(F.count("*").alias("nd"))
-    both = forth.join(back, ["patient_id", "disease_id"]).join(n_p, "patient_id").join(n_d, "disease_id")
-    return both.select("patient_id", "disease_id", ((F.col("forth") / F.col("np") + F.col("back") / F.col("nd")) / 2).alias("score"))
+def mica_distance(micas: DataFrame, ic: DataFrame) -> DataFrame:
+    """Jiang-Conrath distance of the pairs of :func:`mica`; pairs without a common ancestor aren't there."""
+    one, two = (ic.select(F.col("term").alias(k), F.coalesce("ic", F.lit(0.0)).alias(f"ic_{k}")) for k in "ab")
+    gap = F.coalesce("ic_a", F.lit(0.0)) + F.coalesce("ic_b", F.lit(0.0)) - 2 * F.col("ic_mica")
+    return micas.join(one, "a", "left").join(two, "b", "left").select("a", "b", "mica", F.greatest(F.lit(0.0), gap).alias("distance"))
+
+
+def rank(patient: DataFrame, profile: DataFrame, ancestors: DataFrame, ic: DataFrame, measure: str, least_ic: float | None = None, k: int = 10) -> DataFrame:
+    """Top k profiles of each patient by best match average, all patients against all profiles.
+
+    Both sides lose terms of less information content than ``least_ic``; patients
+    and profiles without terms left are out.  The score is the mean of two directed
+    averages of best scores; terms without a common ancestor score 0.  Blocks of
+    patients meet blocks of profiles; the ontology goes to each task if it is
+    small, else scores are made by joins.
+    """
+    patient, profile = (ic_filter(x, ic, least_ic) for x in (patient, profile))
+    up = ancestors.join(ic.select(F.col("term").alias("ancestor"), F.col("ic").alias("ic_x")), "ancestor", "left").select("term", "ancestor", F.coalesce("ic_x", F.lit(0.0)).alias("ic_x"))
+    paths = up.limit(MOST_PATHS + 1).toPandas() if up.count() <= MOST_PATHS else None
+    if paths is None:
+        scored = best_match_average(patient, profile, ancestors, ic, measure)
+    else:
+        scored = _in_blocks(patient, profile, paths, ic.toPandas(), measure, k)
+    return top_k(scored, ["patient_id"], k).select("patient_id", "rank", "disease_id", F.round("score", 5).alias("score"))
+
+
+class _Ontology:
+    """Terms by position, with their ancestors and information content."""
+
+    def __init__(self, paths: pd.DataFrame, ic: pd.DataFrame):
+        self.ids = np.unique(np.concatenate([paths["term"].to_numpy(), paths["ancestor"].to_numpy(), ic["term"].to_numpy()]))
+        self.ic = np.zeros(len(self.ids))
+        self.ic[np.searchsorted(self.ids, ic["term"].to_numpy())] = ic["ic"].to_numpy()
+        term, above = (np.searchsorted(self.ids, paths[c].to_numpy()) for c in ("term", "ancestor"))
+        order = np.argsort(term, kind="stable")
+        self.above = above[order]
+        self.start = np.searchsorted(term[order], np.arange(len(self.ids) + 1))
+
+    def position(self, terms: np.ndarray) -> np.ndarray:
+        """-1 for terms that the ontology doesn't have."""
+        at = np.minimum(np.searchsorted(self.ids, terms), max(len(self.ids) - 1, 0))
+        return np.where(self.ids[at] == terms, at, -1) if len(self.ids) else np.full(len(terms), -1)
+
+    def ancestors(self, t: int) -> np.ndarray:
+        return self.above[self.start[t] : self.start[t + 1]]
+
+
+def _through(measure: str) -> Callable:
+    """Similarity by the ancestor's, the term's and the other side's least information content."""
+    if measure == "resnik":
+        return lambda x, a, b: np.broadcast_to(x, b.shape)
+    if measure == "lin":
+        return lambda x, a, b: np.divide(2 * x, a + b, out=np.zeros(b.shape), where=a + b > 0)
+    return lambda x, a, b: 1 / (1 + np.maximum(0, a + b - 2 * x))
+
+
+def _directed(o: _Ontology, own: list[np.ndarray], other: list[np.ndarray], measure: str) -> np.ndarray:
+    """Mean best score of each set in ``own`` against each set in ``other``.
+
+    Of the other side's terms below an ancestor only the least informative one
+    counts: through one ancestor all measures fall with it.
+    """
+    least: dict[int, np.ndarray] = {}
+    above_zero: dict[int, np.ndarray] = {}
+    for j, terms in enumerate(other):
+        for t in terms[terms >= 0]:
+            for x in o.ancestors(t):
+                if x not in least:
+                    least[x] = np.full(len(other), np.inf)
+                    above_zero[x] = np.full(len(other), np.inf)
+                least[x][j] = min(least[x][j], o.ic[t])
+                if o.ic[t] > 0:
+                    above_zero[x][j] = min(above_zero[x][j], o.ic[t])
+    through, best = _through(measure), {}
+    for t in np.unique(np.concatenate(own)) if own else []:
+        row = np.zeros(len(other))
+        if t >= 0:
+            rest = least if measure != "lin" or o.ic[t] > 0 else above_zero  # Lin is 0 if both are
+            up = [x for x in o.ancestors(t) if x in rest]
+            if up:
+                b = np.array([rest[x] for x in up])
+                row = np.where(np.isfinite(b), through(o.ic[up][:, None], o.ic[t], np.where(np.isfinite(b), b, 0.0)), 0.0).max(0)
+        best[t] = row
+    return np.array([np.mean([best[t] for t in terms], axis=0) for terms in own])
+
+
+def _in_blocks(patient: DataFrame, profile: DataFrame, paths: pd.DataFrame, ic: pd.DataFrame, measure: str, k: int) -> DataFrame:
+    """The k best of each block of profiles for each patient."""
+    spark = patient.sparkSession
+    ontology = spark.sparkContext.broadcast(_Ontology(paths, ic))  # MOST_PATHS pairs at most
+    listed = lambda df, key: df.groupBy(F.col(key).alias("id")).agg(F.collect_list("term").alias("v"))
+
+    def score(mine: list, theirs: list) -> np.ndarray:
+        o = ontology.value
+        p, d = ([o.position(np.asarray(t)) for t in side] for side in (mine, theirs))
+        return (_directed(o, p, d, measure) + _directed(o, d, p, measure).T) / 2
+
+    return best_in_blocks(listed(patient, "patient_id"), listed(profile, "disease_id"), score, k, PATIENT_BLOCK, PROFILE_BLOCK)
+
+
+def best_match_average(patient: DataFrame, profile: DataFrame, ancestors: DataFrame, ic: DataFrame, measure: str) -> DataFrame:
+    """``patient_id, disease_id, score`` by joins on ancestors, for ontologies of any size.
+
+    No pair of terms is made: a side's terms below an ancestor count by their least
+    information content.  Pairs that share no ancestor are left out (their score is 0).
+    """
+    zero = lambda df, key: df.join(ic.withColumnRenamed("ic", "ic_t"), "term", "left").select(F.col(key).alias("id"), "term", F.coalesce("ic_t", F.lit(0.0)).alias("ic_t"))
+    up = ancestors.join(ic.select(F.col("term").alias("ancestor"), F.col("ic").alias("ic_x")), "ancestor", "left").withColumn("ic_x", F.coalesce("ic_x", F.lit(0.0)))
+    one, two = zero(patient, "patient_id").join(up, "term"), zero(profile, "disease_id").join(up, "term")
+
+    def directed(own: DataFrame, other: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+        low = other.groupBy("id", "ancestor").agg(F.min("ic_t").alias("l"), F.min(F.when(F.col("ic_t") > 0, F.col("ic_t"))).alias("lp"))
+        met = own.select("id", "term", "ancestor", "ic_x", F.col("ic_t").alias("ic_a")).join(low.withColumnRenamed("id", "other"), "ancestor")
+        met = met.withColumn("ic_b", F.when(F.col("ic_a") > 0, F.col("l")).otherwise(F.coalesce("lp", "l"))) if measure == "lin" else met.withColumn("ic_b", F.col("l"))
+        best = met.groupBy("id", "other", "term").agg(F.max(F.expr(MEASURES[measure])).alias("s")).groupBy("id", "other").agg(F.sum("s").alias("s"))
+        return best.join(sizes.groupBy("id").agg(F.count("*").alias("n")), "id").select("id", "other", (F.col("s") / F.col("n")).alias(name))
+
+    forth = directed(one, two, patient.select(F.col("patient_id").alias("id")), "forth").select(F.col("id").alias("patient_id"), F.col("other").alias("disease_id"), "forth")
+    back = directed(two, one, profile.select(F.col("disease_id").alias("id")), "back").select(F.col("other").alias("patient_id"), F.col("id").alias("disease_id"), "back")
+    return forth.join(back, ["patient_id", "disease_id"]).select("patient_id", "disease_id", ((F.col("forth") + F.col("back")) / 2).alias("score"))
+
+
+def best_matches(pairs: DataFrame, patient: DataFrame, profile: DataFrame, ancestors: DataFrame, ic: DataFrame, measure: str) -> DataFrame:
+    """The best term of the profile for each term of the patient, for given pairs.
+
+    Columns patient_id, disease_id, term, best_term, mica, score; the last three
+    are null, null and 0 for terms without a common ancestor.  Of equal scores the
+    least term wins, then the most informative ancestor, then the greater id.
+    """
+    known = ic.select("term", F.col("ic").alias("t"))
+    up = ancestors.join(ic.select(F.col("term").alias("ancestor"), F.col("ic").alias("ic_x")), "ancestor", "left").join(known, "term", "left")
+    up = up.select("term", "ancestor", F.coalesce("ic_x", F.lit(0.0)).alias("ic_x"), F.coalesce("t", F.lit(0.0)).alias("t"))
+    asked = pairs.join(patient, "patient_id")
+    one = asked.join(up, "term").select("patient_id", "disease_id", "term", "ancestor", "ic_x", F.col("t").alias("ic_a"))
+    two = profile.join(pairs.select("disease_id").distinct(), "disease_id", "left_semi").join(up.drop("ic_x"), "term").select("disease_id", "ancestor", F.col("term").alias("b"), F.col("t").alias("ic_b"))
+    met = one.join(two, ["disease_id", "ancestor"]).withColumn("sim", F.expr(MEASURES[measure]))
+    order = F.struct(F.round("sim", DIGITS).alias("r"), (-F.col("b")).alias("nb"), F.round("ic_x", DIGITS).alias("ri"), "ancestor", "sim")
+    best = met.groupBy("patient_id", "disease_id", "term").agg(F.max(order).alias("x"))
+    best = best.select("patient_id", "disease_id", "term", (-F.col("x.nb")).alias("best_term"), F.col("x.ancestor").alias("mica"), F.col("x.sim").alias("score"))
+    return asked.select("patient_id", "disease_id", "term").join(best, ["patient_id", "disease_id", "term"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def weak_matches(matches: DataFrame, ic: DataFrame, below: float = 0.3) -> DataFrame:
+    """Terms whose best score is less than ``below``, with their information content."""
+    weak = matches.where(F.round("score", DIGITS) < below).join(ic, "term", "left")
+    return weak.select("patient_id", "disease_id", "term", "best_term", "mica", F.round("score", 4).alias("best_score"), F.round(F.coalesce("ic", F.lit(0.0)), 4).alias("ic"))
+
+
+def clusters(matches: DataFrame, least: int = 2, top: int = 5) -> DataFrame:
+    """Matches of a pair that go through one ancestor, if there are ``least`` of them; the best ``top`` by mean score."""
+    found = matches.where("mica is not null").groupBy("patient_id", "disease_id", "mica").agg(
+        F.count("*").alias("n_patient_terms"), F.count_distinct("best_term").alias("n_disease_terms"), F.avg("score").alias("s")
+    ).where(F.col("n_patient_terms") >= least)
+    best = ranked(found, ["patient_id", "disease_id"], [F.round("s", DIGITS).desc(), F.col("mica")]).where(F.col("rank") <= top)
+    return best.select("patient_id", "disease_id", "rank", "mica", "n_patient_terms", "n_disease_terms", F.round("s", 4).alias("avg_score"))

@@ -26,9 +26,9 @@ def overlaps(patient: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def with_zeros(scored: DataFrame, patient: DataFrame, profile: DataFrame, k: int) -> DataFrame:
-    """Top k of all profiles: where fewer than k share a term, first ones by id follow with 0."""
+    """Top k of all profiles: where fewer than k have a score above 0, first ones by id follow with 0."""
     first = profile.select("disease_id").distinct().orderBy("disease_id").limit(2 * k)
-    short = patient.select("patient_id").distinct().join(scored.groupBy("patient_id").count(), "patient_id", "left").where(F.coalesce("count", F.lit(0)) < k).select("patient_id")
+    short = patient.select("patient_id").distinct().join(scored.where("score > 0").groupBy("patient_id").count(), "patient_id", "left").where(F.coalesce("count", F.lit(0)) < k).select("patient_id")
     zero = short.join(F.broadcast(first)).join(scored.select("patient_id", "disease_id"), ["patient_id", "disease_id"], "left_anti")
     return scored.unionByName(zero.withColumn("score", F.lit(0.0)))
 

@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder that the session names.
 
-    Only where ``spark.checkpoint.dir`` is unset (one machine) a temporary folder is used.
+    Only where ``spark.checkpoint.dir`` is unset and Spark runs on one machine a
+    temporary folder is used.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="phenoweave-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="phenoweave-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()

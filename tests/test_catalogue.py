@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from phenoweave.catalogue_reports import ORACLES, QUERIES
+from phenoweave.catalogue_models import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_same_as_sql(spark, con, name):
     want = con.execute(ORACLES[name])
     names = [d[0] for d in want.description]

@@ -1,9 +1,12 @@
 import gzip
 import json
+import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from phenoweave.sources import readers, sinks
+from phenoweave.operators import registry
+from phenoweave.sources import artifacts, readers, sinks
 
 OWL = """<?xml version="1.0"?>
 <rdf:RDF xmlns:rdf="http://r" xmlns:owl="http://o" xmlns:rdfs="http://s" xmlns:obo="http://b/" xmlns:oboInOwl="http://i" xmlns:skos="http://k">
@@ -104,3 +107,59 @@ def test_sinks(spark, tmp_path):
     other = spark.createDataFrame([("a", 0, ["u"], ["d"])], base.schema)
     with pytest.raises(Exception, match="differs"):
         sinks.check_aligned(other, base).collect()
+
+
+def test_axioms(spark, tmp_path):
+    body = "".join(
+        f'<EquivalentClasses><Class IRI="{iri}"/>{rest}</EquivalentClasses>'
+        for iri, rest in (
+            ("#Orpha:58_HP:256_Freq:vf", '<ObjectIntersectionOf><Class IRI="#x"/><ObjectSomeValuesFrom><ObjectProperty IRI="#has_frequency"/><Class IRI="#VeryRare"/></ObjectSomeValuesFrom></ObjectIntersectionOf>'),
+            ("#orpha:7_HP:0000001_Freq:oc", ""), ("#orpha:7_HP:0000001_Freq:OC", ""), ("#other", ""),
+        )
+    )
+    p = put(tmp_path, "h.owx", f"<Ontology>{body}</Ontology>")
+    got = sorted(rows(artifacts.axiom_annotations(spark, p).select("database_id", "hpo_id", "frequency_code")))
+    assert got == [("ORPHA:58", "HP:0000256", "VeryRare"), ("ORPHA:7", "HP:0000001", "OC")]
+
+
+def test_tables_of_other_tools(spark, tmp_path):
+    assert artifacts.delimited(spark, put(tmp_path, "a.txt", "x\ty\n1\t2,3\n")).first().asDict() == {"x": "1", "y": "2,3"}
+    assert artifacts.delimited(spark, put(tmp_path, "b.txt", "x,y\n1,2\n")).first().asDict() == {"x": "1", "y": "2"}
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><t>rank</t></si><si><t>A</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row/><row><c r="A2" t="s"><v>2</v></c><c r="B2"><v>3</v></c></row></sheetData></worksheet>')
+    assert [tuple(x) for x in artifacts.spreadsheets(spark, str(tmp_path / "c.xlsx")).collect()] == [("c.xlsx", 0, {"name": "A", "rank": "3"})]
+    m = put(tmp_path, "MME.json", json.dumps({"method_metrics": {"set": {"recall_1": 0.5, "recall_10": 0.7, "mrr": 0.6}}, "method_avg_seconds": {"set": 1.5}}))
+    assert rows(artifacts.metric_json(spark, m)) == [("MME", "set", 0.5, 0.7, 0.6, 1.5)]
+    assert artifacts.datasets(spark, str(tmp_path), ["mme", "none"])[1] == ["none"]
+    (tmp_path / "tool_benchmarks").mkdir()
+    put(tmp_path / "tool_benchmarks", "MME_summary.tsv", "x")
+    assert artifacts.benchmarks(spark, str(tmp_path)) == {"tool": ["MME"]}
+
+
+def test_context_reports_and_vectors(spark, tmp_path):
+    edge = spark.createDataFrame([("B", "A")], "child string, parent string")
+    context = registry.Context(spark.createDataFrame([(1,)], "disease_id long"), spark.createDataFrame([(1, "B")], "disease_id long, term string"), edge)
+    artifacts.write_context(context, str(tmp_path / "art"))
+    again = artifacts.load_context(spark, str(tmp_path / "art"))
+    assert again.profile_term.count() == 1 and again.text is None and again.ancestors.count() == 3
+    with pytest.raises(ValueError):
+        artifacts.load_context(spark, str(tmp_path / "none"))
+    metrics = spark.createDataFrame([("b", 0.1, 0.5, 0.2), ("a", 0.2, 0.9, 0.4)], "method string, recall_1 double, recall_10 double, mrr double")
+    assert artifacts.text_report(metrics).splitlines()[1].startswith("a ") and "&lt;x&gt;" in artifacts.html_report({"<x>": metrics})
+    artifacts.write_text(spark, "hello é", str(tmp_path / "t.txt"))
+    assert (tmp_path / "t.txt").read_text() == "hello é"
+    texts, vectors = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string"), spark.createDataFrame([(1, [1.0])], "id long, vector array<double>")
+    assert artifacts.read_vectors(spark, texts, str(tmp_path / "v")) is None
+    artifacts.write_vectors(vectors, texts, str(tmp_path / "v"))
+    assert artifacts.read_vectors(spark, texts.repartition(2), str(tmp_path / "v")).count() == 1
+    assert artifacts.read_vectors(spark, texts.limit(1), str(tmp_path / "v")) is None
+    packet = json.loads(artifacts.phenopacket("p", ["T"], {"T": "tall"}, ["m"], [{"disease_id": 1, "score": 0.5}] * 9, "2020"))
+    assert packet["phenotypicFeatures"][0]["type"]["label"] == "tall" and len(packet["metaData"]["ranking"]["top_results"]) == 5
+    patients = spark.createDataFrame([("a", None, ["T"]), ("b", "tall man", [])], "patient_id string, raw_text string, hpo_terms array<string>")
+    found = artifacts.with_extraction(patients, lambda t, k: t.withColumn("term", F.lit("X")))
+    assert sorted(rows(found)) == [("a", "T"), ("b", "X")]
+    with pytest.raises(Exception, match="neither"):
+        artifacts.with_extraction(spark.createDataFrame([("c", " ", [])], "patient_id string, raw_text string, hpo_terms array<string>"), lambda t, k: t.withColumn("term", F.lit("X"))).collect()
+    assert rows(artifacts.unknown_terms(spark.createDataFrame([("a", "T"), ("a", "U")], "p string, term string"), spark.createDataFrame([("T",)], "term string"))) == [("U", "a")]
