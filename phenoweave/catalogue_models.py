@@ -376,7 +376,7 @@ def hpo2vec_topk(t):
 
 
 def _autoencoder(t, measure: str):
-    model, terms = autoencoder.fit(t.profile_term, epochs=10, hidden=128, latent=32)
+    model, terms = autoencoder.fit(t.profile_term, epochs=4, hidden=128, latent=32)
     return autoencoder.rank(t.asked_term, t.profile_term, model, terms, measure)
 
 

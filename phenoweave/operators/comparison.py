@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ranking import DIGITS, ranked
+from ..plans.session import cut
 from . import evaluation, fusion
 
 #: Kinds of methods in the order of reports, and what a name of the kind looks like; others are embeddings.
@@ -123,16 +124,17 @@ def evaluate(ranks: DataFrame, truth: DataFrame, equal: DataFrame, times: DataFr
         out = best_ranks(r, truth, equal).join(gain, ["case_id", "method"], "left").join(distinct_truth(truth, equal), "case_id", "left")
         return out.withColumn("ndcg", F.when(F.col("n_relevant") > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(0.0))
 
-    first = scored(ranks)
     n = ranks.select("case_id").distinct().agg(F.count("*").alias("n"))  # one row
-    recall = first.groupBy("method").agg(F.count_if(F.col("best_rank") <= 10).alias("hits")).crossJoin(F.broadcast(n)).select("method", (F.col("hits") / F.col("n")).alias("weight"))
+    hits = best_ranks(ranks, truth, equal).groupBy("method").agg(F.count_if(F.col("best_rank") <= 10).alias("hits"))
+    recall = cut(hits.crossJoin(F.broadcast(n)).select("method", (F.col("hits") / F.col("n")).alias("weight")))  # a row for each method
     chosen = recall.where(F.col("weight") >= LEAST_RECALL)
     top = chosen if chosen.limit(1).count() else recall
+    every = ranks.select("case_id", "method", "disease_id", "rank")
     variants = (("ensemble_rrf", ranks, None), ("ensemble_rrf_weighted", ranks, recall), ("ensemble_rrf_top", ranks.join(F.broadcast(top), "method", "left_semi"), None))
-    every = first
     for name, rows, weights in variants:
-        fused = fusion.rrf(rows, None if weights is None else F.broadcast(weights), k).select("case_id", F.lit(name).alias("method"), "disease_id", "rank")
-        every = every.unionByName(scored(fused))
+        fused = fusion.rrf(rows, None if weights is None else F.broadcast(weights), k)
+        every = every.unionByName(fused.select("case_id", F.lit(name).alias("method"), "disease_id", "rank"))
+    every = scored(cut(every))
     ndcg = every.groupBy("method").agg(F.round(F.avg("ndcg"), 4).alias("ndcg"))
     return evaluation.metrics(every).join(ndcg, "method").join(evaluation.timing(times).select("method", "avg_seconds"), "method", "left")
 

@@ -19,7 +19,8 @@ MEASURES = {
     "lin": "CASE WHEN ic_a + ic_b > 0 THEN 2 * ic_x / (ic_a + ic_b) ELSE 0D END",
     "jiang_conrath": "1 / (1 + greatest(0D, ic_a + ic_b - 2 * ic_x))",
 }
-PATIENT_BLOCK, PROFILE_BLOCK = 512, 1024  # rows of a block of either side
+PATIENT_BLOCK, PROFILE_BLOCK = 512, 4096  # rows of a block of either side
+CHUNK = 128  # terms or sets that are scored at a time, so that what they need stays in the cache
 MOST_PATHS = 5_000_000  # pairs of term and ancestor that may be broadcast
 
 
@@ -79,47 +80,73 @@ class _Ontology:
         at = np.minimum(np.searchsorted(self.ids, terms), max(len(self.ids) - 1, 0))
         return np.where(self.ids[at] == terms, at, -1) if len(self.ids) else np.full(len(terms), -1)
 
-    def ancestors(self, t: int) -> np.ndarray:
-        return self.above[self.start[t] : self.start[t + 1]]
+    def ancestors_of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ancestors of all terms in a row, and how many each has."""
+        n = self.start[terms + 1] - self.start[terms]
+        first = np.repeat(self.start[terms] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else n
+        return self.above[first + np.arange(n.sum())], n
 
 
 def _through(measure: str) -> Callable:
-    """Similarity by the ancestor's, the term's and the other side's least information content."""
+    """Similarity by the ancestor's, the term's and the other side's least information content (infinite: none), at least 0."""
     if measure == "resnik":
-        return lambda x, a, b: np.broadcast_to(x, b.shape)
+        return lambda x, a, b: np.where(np.isfinite(b), x, 0.0)
     if measure == "lin":
         return lambda x, a, b: np.divide(2 * x, a + b, out=np.zeros(b.shape), where=a + b > 0)
     return lambda x, a, b: 1 / (1 + np.maximum(0, a + b - 2 * x))
 
 
+def _least(o: _Ontology, sets: list[np.ndarray], rows: np.ndarray, positive: bool) -> np.ndarray:
+    """Of each ancestor in ``rows`` and each set the least information content of the set's terms below it."""
+    terms, place = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    use = (terms >= 0) & (o.ic[terms] > 0 if positive else True)
+    above, n = o.ancestors_of(terms[use])
+    place, value = np.repeat(place[use], n), np.repeat(o.ic[terms[use]], n)
+    at = np.minimum(np.searchsorted(rows, above), len(rows) - 1)
+    hit = rows[at] == above
+    out = np.full((len(rows), len(sets)), np.inf)
+    np.minimum.at(out, (at[hit], place[hit]), value[hit])
+    return out
+
+
 def _directed(o: _Ontology, own: list[np.ndarray], other: list[np.ndarray], measure: str) -> np.ndarray:
     """Mean best score of each set in ``own`` against each set in ``other``.
 
     Of the other side's terms below an ancestor only the least informative one
     counts: through one ancestor all measures fall with it.
     """
-    least: dict[int, np.ndarray] = {}
-    above_zero: dict[int, np.ndarray] = {}
-    for j, terms in enumerate(other):
-        for t in terms[terms >= 0]:
-            for x in o.ancestors(t):
-                if x not in least:
-                    least[x] = np.full(len(other), np.inf)
-                    above_zero[x] = np.full(len(other), np.inf)
-                least[x][j] = min(least[x][j], o.ic[t])
-                if o.ic[t] > 0:
-                    above_zero[x][j] = min(above_zero[x][j], o.ic[t])
-    through, best = _through(measure), {}
-    for t in np.unique(np.concatenate(own)) if own else []:
-        row = np.zeros(len(other))
-        if t >= 0:
-            rest = least if measure != "lin" or o.ic[t] > 0 else above_zero  # Lin is 0 if both are
-            up = [x for x in o.ancestors(t) if x in rest]
-            if up:
-                b = np.array([rest[x] for x in up])
-                row = np.where(np.isfinite(b), through(o.ic[up][:, None], o.ic[t], np.where(np.isfinite(b), b, 0.0)), 0.0).max(0)
-        best[t] = row
-    return np.array([np.mean([best[t] for t in terms], axis=0) for terms in own])
+    terms, back = np.unique(np.concatenate(own), return_inverse=True)
+    best, known = np.zeros((len(terms) + 1, len(other))), np.flatnonzero(terms >= 0)  # the last row is no term
+    above, n = o.ancestors_of(terms[known])
+    if len(above):
+        rows, through = np.unique(above), _through(measure)
+        at, mine = _padded(np.searchsorted(rows, above), n), o.ic[terms[known]]
+        zero = (mine == 0) if measure == "lin" else np.zeros(len(known), dtype=bool)  # Lin is 0 if both are
+        weight = np.append(o.ic[rows], 0.0)
+        for some, positive in ((~zero, False), (zero, True)):
+            which = np.flatnonzero(some & (n > 0))
+            if len(which):
+                least = np.vstack([_least(o, other, rows, positive), np.full(len(other), np.inf)])
+            for lo in range(0, len(which), CHUNK):
+                part = which[lo : lo + CHUNK]
+                top = np.zeros((len(part), len(other)))
+                for k in range(n[part].max()):
+                    x = at[part, k]
+                    np.maximum(top, through(weight[x][:, None], mine[part][:, None], least[x]), out=top)
+                best[known[part]] = top
+    sizes = np.array([len(x) for x in own])
+    members, out = _padded(back, sizes, len(terms)), np.zeros((len(own), len(other)))
+    for lo in range(0, len(own), CHUNK):
+        for k in range(sizes[lo : lo + CHUNK].max()):
+            out[lo : lo + CHUNK] += best[members[lo : lo + CHUNK, k]]
+    return out / sizes[:, None]
+
+
+def _padded(values: np.ndarray, sizes: np.ndarray, fill: int = -1) -> np.ndarray:
+    """Runs of ``sizes`` values as rows of a table, the rest of it ``fill``."""
+    out = np.full((len(sizes), max(int(sizes.max()), 1) if len(sizes) else 1), fill)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = values
+    return out
 
 
 def _in_blocks(patient: DataFrame, profile: DataFrame, paths: pd.DataFrame, ic: pd.DataFrame, measure: str, k: int) -> DataFrame:

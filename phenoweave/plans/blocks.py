@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .ranking import DIGITS
 
+MOST_TASKS = 20_000
+
 
 def best_in_blocks(queries: DataFrame, items: DataFrame, score: Callable, k: int, query_block: int, item_block: int, digits: int = DIGITS) -> DataFrame:
     """``patient_id, disease_id, score``: of each block of items the k best for each query.
@@ -41,4 +43,5 @@ def best_in_blocks(queries: DataFrame, items: DataFrame, score: Callable, k: int
 
     kinds = [df.schema["id"].dataType.simpleString() for df in (queries, items)]
     grid = side(queries, "p", n, "d", m, 0).unionByName(side(items, "d", m, "p", n, 1))
-    return grid.groupBy("p", "d").applyInPandas(run, "patient_id {}, disease_id {}, score double".format(*kinds))
+    tasks = min(n * m, MOST_TASKS)  # by number: rows are few for the work they make, so they must not be merged by size
+    return grid.repartition(tasks, "p", "d").groupBy("p", "d").applyInPandas(run, "patient_id {}, disease_id {}, score double".format(*kinds))
