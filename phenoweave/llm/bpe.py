@@ -19,6 +19,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from math import inf
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -31,6 +32,8 @@ from .store import small_batches
 
 #: Pieces kept per worker before the cache starts anew, and the longest kept.
 CACHE_PIECES, CACHE_BYTES = 200_000, 256
+#: Pairs of tokens kept per worker, and the bits of a token in their key.
+BORDERS, SHIFT = 600_000, 24
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -55,7 +58,8 @@ class Vocabulary:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self._edges: dict[int, tuple | None] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self.lengths = [len(t) for t in self.tokens]
+        self.borders: dict[int, bool] = {}  # by both tokens
 
     def _history(self, data: bytes) -> tuple[bytes, bytes] | None:
         """The last merge of ``data`` on its own; None if merging doesn't give one token."""
@@ -88,11 +92,13 @@ class Vocabulary:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the encoding of the bytes of ``a`` and ``b`` is these two tokens."""
-        known = self._follows.get((a, b))
+        pair = a << SHIFT | b
+        known = self.borders.get(pair)
         if known is None:
-            if len(self._follows) > 300_000:
-                self._follows.clear()
-            known = self._follows[a, b] = self._border_holds(self.edges(a)[0], self.edges(b)[1])
+            if len(self.borders) > BORDERS:
+                self.borders.clear()
+            one, two = self.edges(a), self.edges(b)
+            known = self.borders[pair] = two is not None and self._border_holds(one[0], two[1])
         return known
 
     def _border_holds(self, left: list, right: list) -> bool:
@@ -124,8 +130,9 @@ class PrefixTable:
     """The last token of every prefix of one piece."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", []
-        self.append(data)
+        self.vocabulary, self.data, self.last = vocabulary, data, [-1] * len(data)
+        if data:
+            self._fill(0, len(data))
 
     def append(self, more: bytes) -> None:
         """Add bytes at the end; earlier entries stay as they are."""
@@ -136,13 +143,18 @@ class PrefixTable:
 
     def _fill(self, start: int, end: int) -> None:
         v, last = self.vocabulary, self.last
-        base = max(0, start - v.longest + 1)
+        lengths, borders, base = v.lengths, v.borders, max(0, start - v.longest + 1)
         for at, token in v.automaton.iter(self.data[base:end].decode("latin-1")):
             at += base
-            if at < start or last[at] >= 0 or v.edges(token) is None:
+            if at < start or last[at] >= 0:
                 continue
-            before = at - len(v.tokens[token])
-            if before < 0 or v.follows(last[before], token):
+            before = at - lengths[token]
+            if before < 0:
+                if v.edges(token) is not None:
+                    last[at] = token
+                continue
+            holds = borders.get(last[before] << SHIFT | token)
+            if holds or (holds is None and v.follows(last[before], token)):
                 last[at] = token
 
     def replace(self, start: int, end: int, new: bytes) -> int:
@@ -166,11 +178,13 @@ class PrefixTable:
         whole = self.vocabulary.ranks.get(self.data)
         if whole is not None:
             return [whole]
-        out, at = [], len(self.data) - 1
+        out, at, last, lengths = [], len(self.data) - 1, self.last, self.vocabulary.lengths
         while at >= 0:
-            out.append(self.last[at])
-            at -= len(self.vocabulary.tokens[out[-1]])
-        return out[::-1]
+            token = last[at]
+            out.append(token)
+            at -= lengths[token]
+        out.reverse()
+        return out
 
 
 class Tokenizer:
@@ -180,20 +194,31 @@ class Tokenizer:
         self.vocabulary = Vocabulary(ranks)
         self.pieces = regex.compile(pattern).findall
         self._packed: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _pack(self, piece: str) -> bytes:
-        raw = piece.encode()
-        packed = np.array(self.vocabulary.encode_piece(raw), dtype="<u4").tobytes()
-        if len(raw) <= CACHE_BYTES:
-            if len(self._packed) >= CACHE_PIECES:
-                self._packed.clear()
-            self._packed[piece] = packed
+        packed = self._older.get(piece)
+        if packed is None:
+            raw = piece.encode()
+            ids = self.vocabulary.encode_piece(raw)
+            packed = pack(f"<{len(ids)}I", *ids)
+            if len(raw) > CACHE_BYTES:
+                return packed
+        if len(self._packed) >= CACHE_PIECES // 2:  # pieces in use come over again, the others go
+            self._packed, self._older = {}, self._packed
+        self._packed[piece] = packed
         return packed
 
     def encode_packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, pack = self._packed.get, self._pack
-        return b"".join([known(p) or pack(p) for p in self.pieces(text)])
+        out, known, make = [], self._packed.get, self._pack
+        for piece in self.pieces(text):
+            packed = known(piece)
+            if packed is None:
+                packed = make(piece)
+                known = self._packed.get  # the cache may be a new one
+            out.append(packed)
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), dtype="<u4").tolist()
