@@ -298,7 +298,7 @@ def fit(docs: DataFrame, max_unknown: int = MAX_UNKNOWN) -> Model:
     """
     cues = "(?i)licen|copyright|spdx|rights reserved|permission|redistribut|proprietary|public domain|free software|apache|mozilla|creative commons|\\b(cc0|cc[ -]by|bsd|l?gpl|agpl|gnu|mpl)\\b"
     known = docs.where("text is not null")
-    share = min(1.0, 2.0 * max_unknown / max(known.count(), 1))  # about twice as many texts at any size
+    share = min(1.0, max_unknown / max(known.count(), 1))  # about as many texts at any size, of several paragraphs each
     near = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 34) <= int(share * (1 << 30))).select("text")
     lines = near.select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(cues)).select(F.substring("line", 1, 2000).alias("line"), F.xxhash64("line").alias("h")).orderBy("h", "line").limit(max_unknown)
     return train([tokens(r["line"]) for r in lines.collect()])
