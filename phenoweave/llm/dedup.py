@@ -99,8 +99,10 @@ def _decisions(docs: DataFrame, place: Column, capacity: int, hashed=F.xxhash64)
     rows = materialize(rows.select("doc_id", "place", "points", hashed("norm").alias("hash"), F.unhex(F.sha2("norm", 256)).alias("sha"), "norm"), "dedup-rows")
     rank = F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("place").alias("at"))
     index, cells, depth = build_index(rows.select("hash", "norm", rank.alias("rank")), capacity)
+    keys = materialize(rows.select("doc_id", "place", "hash", "sha"), "dedup-keys")
+    remove(rows, docs.sparkSession)  # the texts aren't needed any more
     # a row's bucket by the directory, its slot by hash, its place in the chain by digest
-    keyed = rows.select("doc_id", "place", "hash", "sha", _cell(depth).alias("cell")).join(cells.select("cell", "bucket"), "cell").drop("cell")
+    keyed = keys.select("*", _cell(depth).alias("cell")).join(cells.select("cell", "bucket"), "cell").drop("cell")
     slots = index.where("size > 1").select("bucket", "hash", "sha", "size", F.col("best.d").alias("keep"), F.col("best.at").alias("first"))
     out = lookup(keyed, slots, ["bucket", "hash", "sha"], "size")
     single = F.col("size").isNull()

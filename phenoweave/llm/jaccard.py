@@ -186,7 +186,10 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100)
 
     entries = sets.select("s", F.explode("win").alias("h"))
     shared = _kept(entries, sets, F.expr(f"greatest(1, {_window_sql(f'({_least_sql("n", num, den)})', num, den)} - {_differ_sql('n', num, den)})"))
+    windows, sets = sets, materialize(sets.drop("win"), "jaccard-names")
+    remove(windows, spark)
     whole = _whole(docs, shared.join(sets.select("s", "first"), "s"), width)
+    remove(shared, spark)
     roots = components(_meeting(whole, num, den), "jaccard-branches")
     cells = materialize(whole.join(roots, whole["s"] == roots["node"]).select("root", "s", "n", "items"), "jaccard-cells")
     remove(whole, spark)
@@ -199,7 +202,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100)
     remove(cells, spark)
     remove(links, spark)
 
-    rooted = sets.drop("win").join(roots, sets["s"] == roots["node"], "left").withColumn("root", F.coalesce("root", "s"))
+    rooted = sets.join(roots, sets["s"] == roots["node"], "left").withColumn("root", F.coalesce("root", "s"))
     least = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"), F.sum("copies").alias("c"))
     grouped = rooted.join(least.where("c > 1"), "root").select("f", "f2", "component_id", "copies")
     return names.join(grouped, ["f", "f2"], "left").select(
