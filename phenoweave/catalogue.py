@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .adapters import Tables, with_tables
 from .functions import identifiers
 from .functions.text import STOPWORDS, is_negated, normalize_text, starts_of
-from .operators import dense, evaluation, fusion, ontology, profiles, semantic, sets, tfidf
+from .operators import dense, evaluation, extraction, fusion, ontology, profiles, semantic, sets, tfidf
 from .plans.ranking import top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -500,9 +500,8 @@ def dedup_extractions(t):
     return kept.select("event_type", "user_id", (-F.col("b.e")).alias("event_id"), F.col("b.value").alias("confidence"))
 
 
-@query("""SELECT p_brand, p_partkey, p_name FROM (SELECT *, sum(length(p_name) + 2) OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey ROWS UNBOUNDED PRECEDING) AS used FROM part) WHERE used <= 650""")
+@query("""SELECT p_brand, p_partkey, p_name FROM (SELECT *, sum(length(p_name) + 2) OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey ROWS UNBOUNDED PRECEDING) AS used
+    FROM part p WHERE p_size >= 30 OR NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_size >= 30)) WHERE used <= 650""")
 def label_budget(t):
-    from pyspark.sql import Window
-
-    upto = F.sum(F.char_length("p_name") + 2).over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey").rowsBetween(Window.unboundedPreceding, 0))
-    return t.part.withColumn("used", upto).where("used <= 650").select("p_brand", "p_partkey", "p_name")
+    rows = t.part.select("p_brand", F.col("p_partkey").alias("term"), F.col("p_name").alias("label"), (F.col("p_size") / 20.0).alias("ic"))
+    return extraction.label_budget(rows, "p_brand").select("p_brand", F.col("term").alias("p_partkey"), F.col("label").alias("p_name"))

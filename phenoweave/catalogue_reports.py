@@ -137,7 +137,7 @@ def _scores(t):
     return reports.by_dataset(_best(t).withColumn("dataset", F.col("case_id") % 7))
 
 
-@query(f"WITH {_SETS} SELECT dataset, arg_max(method, (mrr, -ord)) AS method, max(mrr) AS mrr FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY method) AS ord FROM scores) GROUP BY 1")
+@query(f"WITH {_SETS} SELECT dataset, arg_max(method, (recall_10, -ord)) AS method, max(recall_10) AS recall_10 FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY method) AS ord FROM scores) GROUP BY 1")
 def best_method_per_dataset(t):
     return reports.best_method(_scores(t))
 
@@ -150,8 +150,8 @@ def dataset_difficulty(t):
 @query(f"""WITH {_SETS}, f AS (SELECT case_id, disease_id, sum(1.0 / (60 + rank)) AS score FROM ranks WHERE rank <= 10 GROUP BY 1, 2),
     o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, disease_id) AS r FROM f),
     h AS (SELECT c.case_id, min(o.r) AS best_rank FROM (SELECT DISTINCT case_id FROM ranks) c LEFT JOIN case_truth t ON t.case_id = c.case_id LEFT JOIN o ON o.case_id = c.case_id AND o.disease_id = t.disease_id AND o.r <= 10 GROUP BY 1),
-    g AS (SELECT case_id % 7 AS dataset, round(sum(coalesce(1.0 / best_rank, 0)) / count(*), 4) AS fused FROM h GROUP BY 1)
-    SELECT dataset, fused, max(mrr) AS single, round(fused - max(mrr), 4) AS gain FROM g JOIN scores USING (dataset) GROUP BY 1, 2""")
+    g AS (SELECT case_id % 7 AS dataset, round(avg(CASE WHEN best_rank <= 10 THEN 1.0 ELSE 0.0 END), 4) AS fused FROM h GROUP BY 1)
+    SELECT dataset, fused, max(recall_10) AS single, round(fused - max(recall_10), 4) AS gain FROM g JOIN scores USING (dataset) GROUP BY 1, 2""")
 def ensemble_gain(t):
     fused = fusion.rrf(fusion.rank_methods(t.ranked)).select("case_id", F.lit("rrf").alias("method"), "disease_id", "rank")
     best = evaluation.truth_ranks(fused, t.case_truth).withColumn("dataset", F.col("case_id") % 7)

@@ -139,3 +139,18 @@ def ensemble(texts: DataFrame, key: str, labels: DataFrame, methods: list[str] =
         rows = EXTRACTORS[m](texts, key, lookup).withColumn("ord", F.struct(F.lit(i).alias("m"), F.coalesce("start", F.lit(0)).alias("s")))
         found = rows if found is None else found.unionByName(rows)
     return deduplicate(found, key, blocked).drop("ord")
+
+
+def label_budget(rows: DataFrame, key: str, least_ic: float = 1.5, budget: int = 650, separator: int = 2) -> DataFrame:
+    """The most informative labels ``key, term, label, ic`` that fit a prompt of ``budget`` characters.
+
+    Only terms of ``least_ic`` or more count, or all where a key has none of them.
+    A label takes its length and a separator, so few rows of a key can fit and the
+    others go before rows meet.
+    """
+    some = rows.where(F.col("ic") >= least_ic).select(key).distinct().withColumn("some_", F.lit(True))
+    kept = rows.join(some, key, "left").where((F.col("ic") >= least_ic) | F.col("some_").isNull()).drop("some_")
+    order = Window.partitionBy(key).orderBy(F.desc("ic"), "term")
+    near = kept.withColumn("r_", F.row_number().over(order)).where(F.col("r_") <= budget // separator + 1).drop("r_")
+    upto = F.sum(F.char_length("label") + separator).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("used_", upto).where(F.col("used_") <= budget).drop("used_")

@@ -46,10 +46,10 @@ def by_dataset(best: DataFrame) -> DataFrame:
     return best.groupBy("dataset", "method").agg(F.count("*").alias("n_cases"), _mrr().alias("mrr"), recall.alias("recall_10"))
 
 
-def best_method(scores: DataFrame) -> DataFrame:
-    """The method of greatest mean reciprocal rank in each dataset, ties by name."""
-    r = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc("mrr"), "method"))
-    return scores.withColumn("_r", r).where("_r = 1").select("dataset", "method", "mrr")
+def best_method(scores: DataFrame, by: str = "recall_10") -> DataFrame:
+    """The method of greatest recall (or another metric) in each dataset, ties by name."""
+    r = F.row_number().over(Window.partitionBy("dataset").orderBy(F.desc(by), "method"))
+    return scores.withColumn("_r", r).where("_r = 1").select("dataset", "method", by)
 
 
 def difficulty(scores: DataFrame) -> DataFrame:
@@ -58,7 +58,8 @@ def difficulty(scores: DataFrame) -> DataFrame:
     return scores.groupBy("dataset").agg(F.round(F.avg(r), 3).alias("mean_recall"), F.min(r).alias("least_recall"), F.max(r).alias("greatest_recall"))
 
 
-def ensemble_gain(scores: DataFrame, fused: DataFrame) -> DataFrame:
-    """Mean reciprocal rank of a fusion less that of the best single method, by dataset."""
-    single = scores.groupBy("dataset").agg(F.max("mrr").alias("single"))
-    return fused.select("dataset", F.col("mrr").alias("fused")).join(single, "dataset").select("dataset", "fused", "single", F.round(F.col("fused") - F.col("single"), 4).alias("gain"))
+def ensemble_gain(scores: DataFrame, fused: DataFrame, by: str = "recall_10") -> DataFrame:
+    """Recall of the best fusion less that of the best single method, by dataset."""
+    single = scores.groupBy("dataset").agg(F.max(by).alias("single"))
+    best = fused.groupBy("dataset").agg(F.max(by).alias("fused"))
+    return best.join(single, "dataset").select("dataset", "fused", "single", F.round(F.col("fused") - F.col("single"), 4).alias("gain"))
