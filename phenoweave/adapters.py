@@ -39,8 +39,8 @@ TABLES = {
     "speech": "SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations",
     "phrase": "SELECT min(conv_id * 1000 + turn) AS term, min(conv_id * 1000 + turn) AS ord, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS label FROM conversations WHERE turn = 0 GROUP BY split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)",
     "metric": "SELECT o_orderpriority AS label, CASE WHEN o_custkey % 3 = 0 THEN 'tool' ELSE 'method' END AS system, o_custkey % 7 AS dataset, count(*) AS n,"
-    " round(avg(CASE WHEN o_totalprice > 200000 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 4) AS recall_1, round(avg(CASE WHEN o_totalprice > 100000 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 4) AS recall_10,"
-    " round(avg(CASE WHEN o_totalprice > 150000 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 4) AS mrr, round(avg(o_totalprice / 1000), 3) AS seconds FROM orders GROUP BY 1, 2, 3",
+    " avg(CASE WHEN o_totalprice > 200000 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS recall_1, avg(CASE WHEN o_totalprice > 100000 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS recall_10,"
+    " avg(CASE WHEN o_totalprice > 150000 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS mrr, avg(o_totalprice / 1000) AS seconds FROM orders GROUP BY 1, 2, 3",
     "ranked": "SELECT user_id AS case_id, event_type AS method, event_id % 97 AS disease_id, max(value) AS score FROM events GROUP BY 1, 2, 3",
     "case_truth": "SELECT DISTINCT user_id AS case_id, user_id % 97 AS disease_id FROM events",
     "blocked": "SELECT user_id FROM events GROUP BY 1 HAVING max(value) < 60",

@@ -297,26 +297,26 @@ def family_overview(t):
     return comparison.family_means(t.metric)
 
 
-@query("SELECT dataset, max(recall_10) FILTER (system = 'method') AS one, max(recall_10) FILTER (system = 'tool') AS two, round(max(recall_10) FILTER (system = 'method') - max(recall_10) FILTER (system = 'tool'), 4) AS lead FROM metric GROUP BY 1")
+@query("SELECT dataset, round(max(recall_10) FILTER (system = 'method'), 4) AS one, round(max(recall_10) FILTER (system = 'tool'), 4) AS two, round(max(recall_10) FILTER (system = 'method') - max(recall_10) FILTER (system = 'tool'), 4) AS lead FROM metric GROUP BY 1")
 def system_lead(t):
-    return comparison.by_system(t.metric, "method", "tool")
+    return comparison.by_system(t.metric, "method", "tool").withColumns({c: F.round(c, 4) for c in ("one", "two")})
 
 
-@query("""SELECT label, """ + ", ".join(f"max(recall_10) FILTER (dataset = {d}) AS d{d}" for d in range(7)) + """, round(avg(r), 4) AS mean FROM (SELECT label, dataset, recall_10, max(recall_10) OVER (PARTITION BY label, dataset) AS m,
+@query("""SELECT label, """ + ", ".join(f"round(max(recall_10) FILTER (dataset = {d}), 4) AS d{d}" for d in range(7)) + """, round(avg(r), 4) AS mean FROM (SELECT label, dataset, recall_10, max(recall_10) OVER (PARTITION BY label, dataset) AS m,
     CASE WHEN row_number() OVER (PARTITION BY label, dataset ORDER BY recall_10 DESC) = 1 THEN recall_10 END AS r FROM metric) GROUP BY 1""")
 def best_pivot(t):
-    return comparison.best_pivot(t.metric, list(range(7)))
+    return comparison.best_pivot(t.metric, list(range(7))).withColumns({f"d{d}": F.round(f"d{d}", 4) for d in range(7)})
 
 
-@query("""SELECT dataset, label, k, CASE k WHEN 1 THEN recall_1 ELSE recall_10 END AS recall FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY recall_10 DESC, label) AS r FROM (
+@query("""SELECT dataset, label, k, round(CASE k WHEN 1 THEN recall_1 ELSE recall_10 END, 4) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY recall_10 DESC, label) AS r FROM (
     SELECT label, dataset, max(recall_10) AS recall_10, arg_max(recall_1, recall_10) AS recall_1 FROM metric WHERE system = 'method' GROUP BY 1, 2)) CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 10) WHERE r <= 3""")
 def recall_curves(t):
-    return comparison.recall_curves(t.metric.where("system = 'method'"), 3)
+    return comparison.recall_curves(t.metric.where("system = 'method'"), 3).withColumn("recall", F.round("recall", 4))
 
 
-@query("SELECT dataset, label, system, recall_10, recall_10 = max(recall_10) OVER (PARTITION BY dataset) AS best_recall_10 FROM metric")
+@query("SELECT dataset, label, system, round(recall_10, 4) AS recall_10, recall_10 = max(recall_10) OVER (PARTITION BY dataset) AS best_recall_10 FROM metric")
 def metric_table(t):
-    return comparison.metric_table(t.metric).select("dataset", "label", "system", "recall_10", "best_recall_10")
+    return comparison.metric_table(t.metric).select("dataset", "label", "system", F.round("recall_10", 4).alias("recall_10"), "best_recall_10")
 
 
 @query(f"""WITH {_RANKS}, a AS (SELECT DISTINCT r.case_id FROM ranks r JOIN case_truth t ON t.case_id = r.case_id AND t.disease_id = r.disease_id WHERE method = 'view'),
