@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_negated, normalize_text
 
 GRAM = 8  # characters by which phrases and labels that contain each other are joined
+WORD = "[a-z0-9]+"
 #: Least characters of the label, and of the phrase, for a match by containment.
 RULES = {"ner": (10, 0), "gpt": (8, 8)}
 
@@ -26,27 +27,26 @@ def label_lookup(labels: DataFrame) -> DataFrame:
     return named.groupBy("name").agg(F.max(F.struct("ord", "term"))["term"].alias("term"), F.min("ord").alias("ord"))
 
 
-def _words(texts: DataFrame, key: str) -> DataFrame:
-    """``key, text, word, start`` of the runs of letters and digits in normalised texts."""
-    pieces = texts.select(key, "text", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0))).alias("i", "word"))
-    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("start", F.coalesce(F.sum(F.char_length("word")).over(before), F.lit(0)).cast("int"))
-    return placed.where(F.col("word").rlike("^[a-z0-9]"))
-
-
 def dictionary(texts: DataFrame, key: str, lookup: DataFrame, skip_negated: bool = True) -> DataFrame:
     """Every place where a label stands as whole words, in texts ``key, text`` (one row for each key).
 
-    Offsets count in the normalised text.  Labels are joined by their first word;
-    occurrences of one label don't overlap.  Labels that begin or end with a hyphen
-    have no word boundary there and aren't looked for.
+    Offsets count in the normalised text.  Runs of as many words as labels have are
+    joined by the whole label, so labels that begin alike cost nothing; occurrences
+    of one label don't overlap.  Labels that begin or end with a hyphen have no word
+    boundary there and aren't looked for.
     """
-    clean = texts.select(key, normalize_text(F.col("text")).alias("text"))
-    known = lookup.where(F.col("name").rlike("^[a-z0-9](.*[a-z0-9])?$")).withColumn("word", F.regexp_extract("name", "^[a-z0-9]+", 0))
-    met = _words(clean, key).join(known, "word")
-    end = F.col("start") + F.char_length("name")
-    whole = (F.substring("text", F.col("start") + 1, F.char_length("name")) == F.col("name")) & ~F.substring("text", end + 1, F.lit(1)).rlike("[a-z0-9]")
-    found = met.where(whole).select(key, "term", "name", "start", is_negated(F.col("text"), F.col("start")).alias("negated"))
+    known = lookup.where(F.col("name").rlike("^[a-z0-9](.*[a-z0-9])?$"))
+    lengths = sorted(r[0] for r in known.select(F.size(F.regexp_extract_all("name", F.lit(WORD), F.lit(0)))).distinct().collect())  # a few numbers
+    # pieces are words and what lies between by turns; a run of n words is 2 n - 1 pieces
+    cut_ = F.regexp_extract_all("text", F.lit(f"{WORD}|[^a-z0-9]+"), F.lit(0))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: texts are small for the work they make
+    clean = texts.select(key, "text").repartition(parts, key).select(key, normalize_text(F.col("text")).alias("text")).withColumn("pieces", cut_)
+    run = lambda n: F.concat(*[F.get("pieces", F.col("i") + j) for j in range(2 * n - 1)])  # noqa: E731  # null beyond the end
+    runs = clean.select(key, "pieces", F.posexplode("pieces").alias("i", "word")).where(F.col("word").rlike("^[a-z0-9]"))
+    runs = runs.select(key, "i", F.explode(F.array(*[run(n) for n in lengths]) if lengths else F.array().cast("array<string>")).alias("name"))
+    at = runs.join(known.select("name", "term"), "name").groupBy(key).agg(F.collect_list(F.struct("i", "term", "name")).alias("at"))
+    met = clean.join(at, key).select(key, "text", "pieces", F.explode("at").alias("x")).select(key, "text", "x.term", "x.name", F.char_length(F.array_join(F.slice("pieces", 1, F.col("x.i")), "")).alias("start"))
+    found = met.select(key, "term", "name", "start", is_negated(F.col("text"), F.col("start")).alias("negated"))
     # from left to right, one that begins inside the last one taken doesn't count
     listed = found.groupBy(key, "term", "name").agg(F.array_sort(F.collect_list(F.struct("start", "negated"))).alias("at"))
     none = F.array().cast("array<struct<start:int,negated:boolean>>")

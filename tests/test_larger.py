@@ -25,3 +25,13 @@ def test_pairs_of_sets_are_not_sent(spark, monkeypatch):
     assert {tuple(x) for x in found.collect()} == want
     assert "hashpartitioning(patient_id" in plan(found) and "hashpartitioning(patient_id#" in plan(found).split("Generate")[1]
     assert not any("Exchange" in line for line in plan(found).split("Generate")[0].splitlines() if "AdaptiveSparkPlan" not in line)
+
+
+def test_labels_are_joined_whole(spark):
+    lookup = spark.createDataFrame([(f"big w{i}", i, i) for i in range(300)] + [("big-hands", 900, 900), ("big", 901, 901)], "name string, term int, ord int")
+    texts = spark.createDataFrame([(1, "big w7 big-hands, no big w8 bigger"), (2, "w7 big")], "k int, text string")
+    found = extraction.dictionary(texts, "k", lookup, skip_negated=False)
+    got = {(x.k, x.term, x.start, x.end, x.negated) for x in found.collect()}
+    assert got == {(1, 7, 0, 6, False), (1, 901, 0, 3, False), (1, 900, 7, 16, False), (1, 901, 7, 10, False), (1, 8, 20, 26, True), (1, 901, 20, 23, True), (2, 901, 3, 6, False)}
+    joins = [x for x in plan(found).splitlines() if "Join" in x]
+    assert joins and all("[name#" in x or "[k#" in x for x in joins)  # not by the first word, that many labels share
