@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phenoweave.operators import autoencoder, explain, extraction, semantic, sets
+from phenoweave.operators import autoencoder, extraction, semantic, sets
+from phenoweave.plans import blocks
 
 
 def plan(df) -> str:
@@ -35,3 +36,38 @@ def test_labels_are_joined_whole(spark):
     assert got == {(1, 7, 0, 6, False), (1, 901, 0, 3, False), (1, 900, 7, 16, False), (1, 901, 7, 10, False), (1, 8, 20, 26, True), (1, 901, 20, 23, True), (2, 901, 3, 6, False)}
     joins = [x for x in plan(found).splitlines() if "Join" in x]
     assert joins and all("[name#" in x or "[k#" in x for x in joins)  # not by the first word, that many labels share
+
+
+def test_best_columns_and_terms_scored_once(spark, monkeypatch):
+    s = np.random.default_rng(2).integers(0, 4, (50, 30)) / 4
+    for k in (1, 7, 30, 40):
+        row, col = blocks.best_columns(s, k)
+        assert np.array_equal(col.reshape(50, -1), np.argsort(-s, axis=1, kind="stable")[:, :k]) and np.array_equal(row, np.repeat(np.arange(50), min(k, 30)))
+    # terms of profiles are scored once for PROFILE_BLOCK profiles and PATIENTS patients
+    assert semantic.PROFILE_BLOCK >= 8 * semantic.PROFILES and semantic.PATIENT_BLOCK >= 4 * semantic.PATIENTS
+
+
+def test_autoencoder_trains_on_every_profile(spark, monkeypatch):
+    profile = spark.createDataFrame([(i, i % 10 * 50 + j) for i in range(400) for j in range(4)] , "disease_id long, term long")
+    monkeypatch.setattr(autoencoder, "PART", 100)
+    for places in (1000, 30):  # a place for each term, and a vocabulary that is larger
+        monkeypatch.setattr(autoencoder, "MOST_PLACES", places)
+        monkeypatch.setattr(autoencoder, "PLACES", 128)
+        model, terms = autoencoder.fit(profile, epochs=3, hidden=16, latent=8)
+        assert len(terms) == (40 if places == 1000 else 128) and len(model.losses) == 3 and model.losses[-1] < model.losses[0]
+        flat, _ = autoencoder._epoch(autoencoder.placed(profile, "disease_id", terms), model, 4, 9, 0)
+        assert np.array_equal(flat, autoencoder._epoch(autoencoder.placed(profile, "disease_id", terms), model, 4, 9, 0)[0])
+        assert autoencoder.placed(profile, "disease_id", terms).count() == 400
+        asked = spark.createDataFrame([(5, 101), (6, 99999)], "patient_id long, term long")
+        assert {x.patient_id for x in autoencoder.rank(asked, profile, model, terms).collect()} == {5}
+
+
+def test_best_matches_look_at_few_terms(spark):
+    r = np.random.default_rng(3)
+    two = spark.createDataFrame([(d, int(x), int(b), float(v)) for d in range(3) for x in range(4) for b, v in zip(r.permutation(200)[:40], r.choice([0.0, 0.5, 1.0, 1.5, 2.5], 40), strict=True)], "disease_id long, ancestor long, b long, ic_b double")
+    few = semantic._front(two)
+    assert few.count() < two.count() / 4
+    asked = spark.createDataFrame([(a, x / 4, float(v)) for a in range(6) for x in (0, 1, 6) for v in (0.0, 1.0)], "a long, ic_x double, ic_a double")
+    for m in semantic.MEASURES.values():
+        best = lambda df: {tuple(x) for x in df.crossJoin(asked).withColumn("s", F.expr(m)).groupBy("disease_id", "ancestor", "a", "ic_x", "ic_a").agg(F.max(F.struct(F.round("s", 9), -F.col("b")))).collect()}  # noqa: E731, B023
+        assert best(few) == best(two)
