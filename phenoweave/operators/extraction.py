@@ -61,9 +61,9 @@ def dictionary(texts: DataFrame, key: str, lookup: DataFrame, skip_negated: bool
 
 
 def _grams(text: str) -> Column:
-    """All substrings of one to GRAM characters, with their length in front."""
-    every = f"flatten(transform(sequence(1, {GRAM}), g -> transform(sequence(1, greatest(char_length({text}) - g + 1, 1)), i -> concat(g, ':', substring({text}, i, g)))))"
-    return F.array_distinct(F.filter(F.expr(every), lambda x: F.char_length(F.substring_index(x, ":", -1)) > 0))
+    """All substrings of one to GRAM characters with their length in front, and their places (from 1)."""
+    every = f"flatten(transform(sequence(1, {GRAM}), g -> transform(sequence(1, greatest(char_length({text}) - g + 1, 1)), i -> struct(concat(g, ':', substring({text}, i, g)) AS h, i))))"
+    return F.explode(F.expr(every))
 
 
 def _head(text: str) -> Column:
@@ -72,16 +72,24 @@ def _head(text: str) -> Column:
 
 
 def containing(phrases: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of distinct ``phrase`` and ``name`` of which one contains the other.
-
-    The shorter one's first characters stand somewhere in the longer one, so both
-    are joined on these; blank ones contain nothing here.
-    """
+    """Pairs of distinct ``phrase`` and ``name`` of which one contains the other; blank ones contain nothing here."""
     p = phrases.select("phrase").where("phrase <> ''").distinct()
     n = names.select("name").where("name <> ''").distinct()
-    inside = p.withColumn("h", _head("phrase")).join(n.withColumn("h", F.explode(_grams("name"))), "h").where(F.col("name").contains(F.col("phrase")))
-    around = n.withColumn("h", _head("name")).join(p.withColumn("h", F.explode(_grams("phrase"))), "h").where(F.col("phrase").contains(F.col("name")))
-    return inside.select("phrase", "name").unionByName(around.select("phrase", "name")).distinct()
+    inside, around = _inside(p.toDF("short"), n.toDF("long")), _inside(n.toDF("short"), p.toDF("long"))
+    return inside.toDF("phrase", "name").unionByName(around.toDF("name", "phrase")).distinct()
+
+
+def _inside(short: DataFrame, long: DataFrame) -> DataFrame:
+    """``short, long`` where the first lies in the second.
+
+    First characters of the shorter ones, with the lengths that begin so, tell where in
+    the longer ones to look; what stands there is joined whole, so beginnings that
+    many share make no pairs.
+    """
+    heads = short.select(_head("short").alias("h"), F.char_length("short").alias("n")).distinct()
+    at = long.select("long", _grams("long").alias("x")).select("long", "x.h", "x.i").join(heads, "h")
+    found = at.where(F.col("i") + F.col("n") - 1 <= F.char_length("long")).select(F.substring("long", F.col("i"), F.col("n")).alias("short"), "long").distinct()
+    return found.join(short, "short").select("short", "long")
 
 
 def match_phrases(phrases: DataFrame, lookup: DataFrame, rule: str) -> DataFrame:

@@ -71,3 +71,16 @@ def test_best_matches_look_at_few_terms(spark):
     for m in semantic.MEASURES.values():
         best = lambda df: {tuple(x) for x in df.crossJoin(asked).withColumn("s", F.expr(m)).groupBy("disease_id", "ancestor", "a", "ic_x", "ic_a").agg(F.max(F.struct(F.round("s", 9), -F.col("b")))).collect()}  # noqa: E731, B023
         assert best(few) == best(two)
+
+
+def test_shared_beginnings_make_no_pairs(spark):
+    names = [f"customer#{i:09d}" for i in range(300)]
+    df = spark.createDataFrame([(x,) for x in [*names, "r#0000", "é"]], "phrase string")
+    found = extraction.containing(df, df.withColumnRenamed("phrase", "name"))
+    want = {(a, b) for a in [*names, "r#0000", "é"] for b in [*names, "r#0000", "é"] if a in b or b in a}
+    assert {tuple(x) for x in found.collect()} == want
+    assert "Contains(" not in plan(found)  # joined whole, not filtered from pairs with a common beginning
+    up = spark.createDataFrame([(1, 1), (2, 2), (1, 0), (2, 0), (3, 3)], "term int, ancestor int")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a int, b int")
+    assert [tuple(x) for x in semantic.common_ancestors(pairs, up).collect()] == [(1, 2, 0)]
+    assert "ancestor" not in "".join(x for x in plan(semantic.common_ancestors(pairs, up)).splitlines() if "Join" in x)
