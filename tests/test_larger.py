@@ -1,7 +1,6 @@
 """Plans that have to hold on larger tables: what they send, hold and train on."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from phenoweave.operators import autoencoder, extraction, semantic, sets
@@ -43,6 +42,7 @@ def test_best_columns_and_terms_scored_once(spark, monkeypatch):
     for k in (1, 7, 30, 40):
         row, col = blocks.best_columns(s, k)
         assert np.array_equal(col.reshape(50, -1), np.argsort(-s, axis=1, kind="stable")[:, :k]) and np.array_equal(row, np.repeat(np.arange(50), min(k, 30)))
+    assert [x.tolist() for x in blocks.best_columns(np.array([[np.nan, 1.0, np.nan, 0.5]]), 3)] == [[0, 0, 0], [1, 3, 0]]
     # terms of profiles are scored once for PROFILE_BLOCK profiles and PATIENTS patients
     assert semantic.PROFILE_BLOCK >= 8 * semantic.PROFILES and semantic.PATIENT_BLOCK >= 4 * semantic.PATIENTS
 
