@@ -89,7 +89,7 @@ def _label_method(c: Context, p: DataFrame, texts: bool) -> DataFrame:
     weights = tfidf.idf(counts, c.profile, "disease_id")
     other = counts if texts else _labels(c, c.profile_term, "disease_id")
     asked = tfidf.weigh(_labels(c, ontology.ic_filter(p, c.ic, c.least_ic), "patient_id"), weights)
-    return top_k(tfidf.cosine(asked, tfidf.weigh(other, weights)), ["patient_id"], c.k)
+    return tfidf.rank(asked, tfidf.weigh(other, weights), weights, c.k)
 
 
 register("tfidf_hybrid", "label", "text")(lambda c, p: _label_method(c, p, True))

@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from phenoweave.operators import autoencoder, extraction, semantic, sets
+from phenoweave.operators import autoencoder, extraction, semantic, sets, tfidf
 from phenoweave.plans import blocks
+from phenoweave.plans.ranking import top_k
 
 
 def plan(df) -> str:
@@ -84,3 +85,20 @@ def test_shared_beginnings_make_no_pairs(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "a int, b int")
     assert [tuple(x) for x in semantic.common_ancestors(pairs, up).collect()] == [(1, 2, 0)]
     assert "ancestor" not in "".join(x for x in plan(semantic.common_ancestors(pairs, up)).splitlines() if "Join" in x)
+
+
+def test_label_rankings_make_no_pairs(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(tfidf, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(tfidf, "ITEM_BLOCK", 32)
+    # one common token, rare ones, one of weight 0 and one below 0
+    idf = {"all": 0.3, "zero": 0.0, "less": -0.4} | {f"w{i}": float(r.random() + 0.1) for i in range(60)}
+    side = lambda n, key: spark.createDataFrame([(i, str(x), int(r.integers(1, 4))) for i in range(n) for x in set(r.choice(list(idf), 5)) | ({"all"} if i % 3 else set())], f"{key} long, token string, tf long")
+    weights = spark.createDataFrame(list(idf.items()), "token string, idf double")
+    q, d = tfidf.weigh(side(40, "patient_id"), weights).cache(), tfidf.weigh(side(90, "disease_id"), weights).cache()
+    for w in (weights, weights.where("idf > 0")):
+        kept = [x.join(w.select("token"), "token", "left_semi") for x in (q, d)]
+        best = tfidf.rank(*kept, w, 30)
+        got, want = ({(x.patient_id, x["rank"], x.disease_id): x.score for x in df.collect()} for df in (best, top_k(tfidf.cosine(*kept), ["patient_id"], 30)))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+        assert "FlatMapGroupsInPandas" in plan(best)
