@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from phenoweave.operators import autoencoder, extraction, semantic, sets, tfidf
+from phenoweave.operators import autoencoder, extraction, ontology, semantic, sets, tfidf
 from phenoweave.plans import blocks
 from phenoweave.plans.ranking import top_k
 
@@ -102,3 +102,24 @@ def test_label_rankings_make_no_pairs(spark, monkeypatch):
         got, want = ({(x.patient_id, x["rank"], x.disease_id): x.score for x in df.collect()} for df in (best, top_k(tfidf.cosine(*kept), ["patient_id"], 30)))
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
         assert "FlatMapGroupsInPandas" in plan(best)
+
+
+def test_ancestors_are_sent_as_lists(spark):
+    r = np.random.default_rng(5)
+    dag = [(i, int(r.integers(0, i))) for i in range(1, 60) for _ in range(2)]
+    for pairs in (dag, [*dag, (70, 71), (71, 72), (72, 70), (73, 72), (74, 73), (72, 5), (75, 75), (None, 7), (76, None)]):  # a cycle, below it, itself
+        edges = spark.createDataFrame(pairs, "child long, parent long")
+        want = set(pairs)
+        while len(more := want | {(a, d) for a, b in want for c, d in pairs if b == c and b is not None}) > len(want):
+            want = more
+        got = [tuple(x) for x in ontology.closure(edges).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        every = {x for p in pairs for x in p}
+        assert {tuple(x) for x in ontology.closure(edges, inclusive=True).collect()} == want | {(x, x) for x in every}
+    terms = spark.createDataFrame([(i, int(t)) for i in range(20) for t in r.integers(0, 90, 3)], "patient_id long, term long")
+    up = ontology.propagate_lists(terms, ontology.ancestor_lists(edges), "patient_id")
+    own = {tuple(x) for x in terms.collect()}
+    got = [tuple(x) for x in up.collect()]
+    assert len(got) == len(set(got)) and set(got) == own | {(p, a) for p, t in own for c, a in want if c == t}
+    top = plan(up).split("Generate")[0]  # rows of ancestors are never sent
+    assert not any("Exchange" in line for line in top.splitlines() if "AdaptiveSparkPlan" not in line)
