@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import autoencoder, graph, ontology, semantic, sets, tfidf
 from ..plans.ranking import top_k
+from ..plans.session import dealt
 
 Method = Callable[["Context", DataFrame], DataFrame]
 METHODS: dict[str, Method] = {}
@@ -81,7 +82,7 @@ def _tfidf_terms(c: Context, p: DataFrame) -> DataFrame:
 
 
 def _labels(c: Context, terms: DataFrame, key: str) -> DataFrame:
-    return tfidf.token_counts(terms.join(c.label, "term").select(key, "label"), key, "label")
+    return tfidf.token_counts(dealt(terms.join(c.label, "term").select(key, "label"), key), key, "label")
 
 
 def _label_method(c: Context, p: DataFrame, texts: bool) -> DataFrame:
