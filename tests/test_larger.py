@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from phenoweave.operators import autoencoder, extraction, ontology, semantic, sets, tfidf
+from phenoweave.catalogue_models import QUERIES
+from phenoweave.operators import autoencoder, extraction, graph, ontology, semantic, sets, tfidf
 from phenoweave.plans import blocks
 from phenoweave.plans.ranking import top_k
 
@@ -123,3 +124,13 @@ def test_ancestors_are_sent_as_lists(spark):
     assert len(got) == len(set(got)) and set(got) == own | {(p, a) for p, t in own for c, a in want if c == t}
     top = plan(up).split("Generate")[0]  # rows of ancestors are never sent
     assert not any("Exchange" in line for line in top.splitlines() if "AdaptiveSparkPlan" not in line)
+
+
+def test_counts_of_labels_and_edges_are_made_in_small_parts(spark):
+    edges = spark.createDataFrame([(1, 0), (2, 1), (1, 2), (3, 3), (None, 5), (4, None)], "child long, parent long")
+    profile = spark.createDataFrame([(7, 1), (7, 1), (8, 2), (None, 5)], "disease_id long, term long")
+    found, want = graph.counted(edges, profile), graph.build(edges, profile).groupBy("src", "dst").count()
+    assert sorted(map(str, found.collect())) == sorted(str(x).replace("count=", "n=") for x in want.collect())
+    assert plan(found).count("REPARTITION_BY_NUM") >= 2  # by number: parts are not merged by the size of what is sent
+    for name in ("label_tokens", "graph_edges"):
+        assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
