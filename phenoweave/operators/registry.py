@@ -100,7 +100,7 @@ register("tfidf_hpo_labels", "label", "text")(lambda c, p: _label_method(c, p, F
 @register("hpo2vec")
 def _walked(c: Context, p: DataFrame) -> DataFrame:
     weight = c.once("weight", lambda: graph.weights(c.ic))
-    vectors = c.once("vectors", lambda: graph.embed(graph.walks(graph.build(c.edge, c.profile_term), weight)))
+    vectors = c.once("vectors", lambda: graph.embed(graph.walks(graph.counted(c.edge, c.profile_term), weight)))
     return graph.rank(p, c.profile_term, vectors, weight, c.k)
 
 

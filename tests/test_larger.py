@@ -134,3 +134,18 @@ def test_counts_of_labels_and_edges_are_made_in_small_parts(spark):
     assert plan(found).count("REPARTITION_BY_NUM") >= 2  # by number: parts are not merged by the size of what is sent
     for name in ("label_tokens", "graph_edges"):
         assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_walks_of_a_large_graph_are_those_of_a_small_one(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    pairs = {(f"t:{a}", f"t:{b}") for a, b in r.integers(0, 30, (90, 2))}
+    pairs = [*(pairs | {(b, a) for a, b in pairs}), *[("t:1", "t:z")] * 3, ("t:2", None)]  # t:z is a sink, an edge occurs three times
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    weight = spark.createDataFrame([(f"t:{i}", float(r.integers(0, 4))) for i in range(25)], "node string, weight double")
+    own = lambda: {(x.node, x.walk): x.path for x in graph.walks(edges, weight, 6, 3, 4.0, 0.25, 3).collect()}
+    small = own()
+    monkeypatch.setattr(graph, "MOST_EDGES", 1)
+    assert own() == small and {len(x) for x in small.values()} > {6} and "t:z" in sum(small.values(), [])
+    # a step is one job of its own: no plan has the steps before it
+    long = graph.walks_by_joins(edges, weight, spark.createDataFrame([("t:1", 1), ("t:none", 1)], "node string, walk int"), 4, 1.0, 0.5, 0)
+    assert plan(long).count("FlatMapCoGroups") == 0 and {x.node: len(x.path) for x in long.collect()}["t:none"] == 1
