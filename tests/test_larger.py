@@ -149,3 +149,23 @@ def test_walks_of_a_large_graph_are_those_of_a_small_one(spark, monkeypatch):
     # a step is one job of its own: no plan has the steps before it
     long = graph.walks_by_joins(edges, weight, spark.createDataFrame([("t:1", 1), ("t:none", 1)], "node string, walk int"), 4, 1.0, 0.5, 0)
     assert plan(long).count("FlatMapCoGroups") == 0 and {x.node: len(x.path) for x in long.collect()}["t:none"] == 1
+
+
+def test_tokens_of_texts_are_not_sent(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)]
+    some = [" ".join(words[int(i)] for i in np.minimum(r.geometric(0.08, 12), 90) - 1) for _ in range(60)]
+    rows = [*enumerate(some), (3, some[4]), (70, None), (71, "a b"), (72, words[-1])]  # a repeated key, texts without tokens
+    texts = spark.createDataFrame(rows, "disease_id long, text string")
+    plain = tfidf.token_counts(texts, "disease_id")
+    want = {x.disease_id: x.norm for x in tfidf.norms(tfidf.weigh(plain, tfidf.idf(plain, texts, "disease_id")), "disease_id").collect()}
+    counts = tfidf.token_counts(texts, "disease_id", whole=True)
+    assert {tuple(x) for x in counts.collect()} == {tuple(x) for x in plain.collect()}
+    weights = tfidf.idf(counts, texts, "disease_id", once=True)
+    for most in (0, 10, 500):  # all tokens are rare, some, none
+        monkeypatch.setattr(tfidf, "MOST_TOKENS", most)
+        got = {x.disease_id: x.norm for x in tfidf.norms_in_place(counts, weights, "disease_id").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    few = spark.createDataFrame([(words[0],), (words[5],)], "token string")
+    assert {tuple(x) for x in tfidf.token_counts(texts, "disease_id", whole=True, only=few).collect()} == {tuple(x) for x in plain.join(few, "token").select("disease_id", "token", "tf").collect()}
+    assert not any("Exchange" in line for line in plan(counts).split("Generate")[0].splitlines() if "AdaptiveSparkPlan" not in line) and "REPARTITION_BY_NUM" in plan(counts)
