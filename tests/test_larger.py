@@ -169,3 +169,16 @@ def test_tokens_of_texts_are_not_sent(spark, monkeypatch):
     few = spark.createDataFrame([(words[0],), (words[5],)], "token string")
     assert {tuple(x) for x in tfidf.token_counts(texts, "disease_id", whole=True, only=few).collect()} == {tuple(x) for x in plain.join(few, "token").select("disease_id", "token", "tf").collect()}
     assert not any("Exchange" in line for line in plan(counts).split("Generate")[0].splitlines() if "AdaptiveSparkPlan" not in line) and "REPARTITION_BY_NUM" in plan(counts)
+
+
+def test_parts_of_walks_are_learnt_at_the_same_time(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    paths = spark.createDataFrame([([f"t:{int(x) + 10 * (i % 2)}" for x in r.integers(0, 10, 20)],) for i in range(400)], "path array<string>")  # two groups that never meet
+    made = []
+    true = graph.Word2Vec
+    monkeypatch.setattr(graph, "Word2Vec", lambda **k: made.append(k["numPartitions"]) or true(**k))
+    monkeypatch.setattr(graph, "PART_WALKS", 100)
+    v = {x.node: np.array(x.vector) / np.linalg.norm(x.vector) for x in graph.embed(paths, dim=8, window=3, epochs=4).collect()}
+    near = [v[f"t:{a}"] @ v[f"t:{b}"] for a in range(20) for b in range(a) if a // 10 == b // 10]
+    far = [v[f"t:{a}"] @ v[f"t:{b}"] for a in range(10) for b in range(10, 20)]
+    assert made == [4] and len(v) == 20 and np.mean(near) > np.mean(far)
